@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlog.plans.shipping import ship
+
 RESERVED = ("_stream_id", "_offset", "_position", "_payload", "_payload_json")
 KINDS = {"boolean": (T.BooleanType(), pa.bool_()), "bigint": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string())}
 _MOST, _LEAST = 2**63 - 1, -(2**63)
@@ -85,6 +87,7 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def infer(records: DataFrame, payload: str = "payload") -> dict[str, str]:
     """Kinds by field, in the order of the fields' names."""
+    ship(records.sparkSession)
     pairs = records.select(F.col(payload).cast("binary")).mapInArrow(_pairs, "field string, kind string")
     rows = pairs.groupBy("field").agg(F.collect_set("kind").alias("kinds")).collect()
     return {r["field"]: widen(set(r["kinds"])) for r in sorted(rows, key=lambda r: r["field"])}
@@ -132,6 +135,7 @@ def json_table(history: DataFrame, kinds: dict[str, str] | None = None) -> DataF
     """
     if kinds is None:
         kinds = infer(history)
+    ship(history.sparkSession)
     names = column_names(list(kinds))
     base = history.select(F.col("stream_id").alias("_stream_id"), F.col("offset").alias("_offset"), F.concat("owner_id", F.lit("@"), F.col("offset").cast("string")).alias("_position"), F.col("payload").cast("binary").alias("_payload"))
     fields = [*base.schema.fields, T.StructField("_payload_json", T.StringType()), *(T.StructField(names[f], KINDS[k][0]) for f, k in kinds.items())]

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key ends a chunk where the low bits of its score are zero; one key in 2^20 by default.
 CHUNK_MASK = 0x000F_FFFF
@@ -54,7 +55,7 @@ def sha256(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a64(data: pd.Series) -> pd.Series:
     """FNV-1a with 64 bits, 16 hex digits; Spark has no such function."""
 

@@ -63,11 +63,9 @@ def replay_all(records: DataFrame, streams: DataFrame, only: Column | None = Non
 def missing_anchors(records: DataFrame, streams: DataFrame) -> DataFrame:
     """Streams that can't be read, since the record at a fork was trimmed: a bound alone would return fewer rows without a word."""
     seen = reach(streams, edges(streams)).where("max_offset is not null")
-    forks = edges(streams).select(F.col("parent_id").alias("owner_id"), F.col("fork_offset").alias("max_offset")).distinct()
-    # The anchor lies in the nearest ancestor that holds it, or further up.
-    anchors = seen.join(forks, ["owner_id", "max_offset"], "left_semi")
     there = records.select(F.col("stream_id").alias("owner_id"), F.col("offset").alias("max_offset"))
-    own = anchors.join(first_offsets(streams), "owner_id").where("max_offset >= first_offset")
+    # The bound lies in the one owner whose own records reach it; in others it is below their first.
+    own = seen.join(first_offsets(streams), "owner_id").where("max_offset >= first_offset")
     return own.join(there, ["owner_id", "max_offset"], "left_anti").select("stream_id", "owner_id", F.col("max_offset").alias("offset"))
 
 

@@ -15,13 +15,14 @@ from loomlog.plans import staging
 NODES = "level int, node long, digest string, low binary, high binary, n_entries long, children array<string>"
 
 
-def chunk(entries: DataFrame, mask: int = scalars.CHUNK_MASK, least: int = 1) -> DataFrame:
+def chunk(entries: DataFrame, mask: int = scalars.CHUNK_MASK, least: int = 1, salt: bytes = b"") -> DataFrame:
     """``entries`` (unique ``key``) with ``node``: the number of the chunk, in key order. A boundary key ends its chunk.
 
-    ``least``: entries before a boundary counts, 2 for inner levels, so that levels shrink.
+    ``least``: entries of a chunk, 2 for inner levels, so that levels shrink. ``salt``: hashed after the key. Inner levels need one, since
+    the last key of a leaf is a boundary already.
     """
     sorted_rows = entries.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
-    rows = staging.stage(sorted_rows.withColumn("ends", scalars.chunk_boundary(F.col("key"), mask)), "chunks")
+    rows = staging.stage(sorted_rows.withColumn("ends", scalars.chunk_boundary(F.concat("key", F.lit(salt)), mask)), "chunks")
     here = Window.partitionBy("part").orderBy("key")
     rows = rows.withColumn("rank", F.row_number().over(here))
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.count_if("ends").alias("cuts"))
@@ -62,7 +63,7 @@ def build(entries: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
     nodes, k, size = level, 0, level.count()
     while size > 1:
         k += 1
-        rows = chunk(level.select(F.col("high").alias("key"), "digest", "low", "n_entries"), mask, 2)
+        rows = chunk(level.select(F.col("high").alias("key"), "digest", "low", "n_entries"), mask, 2, bytes([k]))
         grouped = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "digest", "low", "n_entries"))).alias("e"))
         level = staging.stage(
             grouped.select(

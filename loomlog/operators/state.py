@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.plans.shipping import ship
+
 
 def last_by_key(records: DataFrame, keys: list[str], value: str, order: str = "offset") -> DataFrame:
     """The value at the greatest offset for each key; a null there is the value. Combines on the map side."""
@@ -161,6 +163,7 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def insert_entries(records: DataFrame) -> DataFrame:
     """Rows of INSERT records: ``table_name, offset, row, key, value``. A record that is no such statement fails the query."""
+    ship(records.sparkSession)
     return records.select("offset", F.col("payload").cast("binary")).mapInArrow(_parse, "table_name string, offset long, row int, key binary, value binary")
 
 

@@ -50,8 +50,8 @@ RECORDS_SQL = f"""
 own AS (
   SELECT 'events' AS stream_id, event_id AS "offset", {PAYLOAD_SQL} AS payload FROM events
   UNION ALL
-  SELECT s.stream_id, s.base + row_number() OVER (PARTITION BY e.event_type ORDER BY event_id) - 1, {PAYLOAD_SQL}
-  FROM events e JOIN (VALUES {", ".join(f"('{n}', {f + 1}, '{k}')" for n, (_, f, k) in FORKS.items())}, ('{MERGE[0]}', {MERGE[2][1] + 1}, '{MERGE[3]}')) s(stream_id, base, event_type) ON e.event_type = s.event_type),
+  SELECT s.stream_id, s.base + row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1, {PAYLOAD_SQL}
+  FROM events JOIN (VALUES {", ".join(f"('{n}', {f + 1}, '{k}')" for n, (_, f, k) in FORKS.items())}, ('{MERGE[0]}', {MERGE[2][1] + 1}, '{MERGE[3]}')) s(stream_id, base, kind) ON event_type = s.kind),
 inherit AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{p}', {f})" for n, (p, f, _) in FORKS.items())}, ('{MERGE[0]}', '{MERGE[2][0]}', {MERGE[2][1]})) t(stream_id, parent_id, fork)),
 up AS (
   SELECT stream_id, stream_id AS owner_id, CAST(NULL AS BIGINT) AS bound, 0 AS depth FROM (SELECT DISTINCT stream_id FROM own)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import scalars
 from loomlog.operators import state as folds
+from loomlog.plans.shipping import ship
 from loomlog.sources.log import InvalidRequest, Log, NotFound
 
 
@@ -40,6 +41,7 @@ class CountReducer:
 
 def fold_in_order(rows: DataFrame, reducer: Reducer, state: Any) -> Any:
     """One ordered pass in one task, as such a reducer demands; a batch of records is in memory at a time."""
+    ship(rows.sparkSession)
     first = json.dumps(state)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
