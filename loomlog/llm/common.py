@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from loomlog.plans.shipping import ship as ship
 
 #: Most bytes of text that a Python worker turns into Python objects at once.
 SLICE_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(top)}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
-
-
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about ``limit`` bytes; a single row may have more."""
     for batch in batches:
