@@ -7,9 +7,14 @@ pieces in turn. Frequent pieces are encoded once in a worker's life and then loo
 from __future__ import annotations
 
 import zlib
-
-#: Pieces that a worker remembers, and the longest of them (characters).
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+from array import array
+from itertools import islice
+
+#: Pieces that a worker remembers.
+CACHE_WORDS = 600_000
+_LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Words on which the short way for plain words is tried before it is used.
+_PROBE = ["a", "the", "tion", "ouier", "zzxq", "internationalisation"]
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -34,6 +39,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.known: dict[str, bytes] = {"": b""}
+        self.known.update(zip(".,", self._ids([".", ","]), strict=True))
+        self.lower = all(self._ids([w.upper()]) == self._ids([w]) for w in _PROBE)
+        self.plain = self.lower and all(self._plain(w) == self._ids([w])[0] for w in _PROBE)
 
     @classmethod
     def of(cls, source: str) -> WordEncoder:
@@ -45,20 +53,37 @@ class WordEncoder:
         return _ENCODERS[key]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _plain(self, word: str) -> bytes:
+        """A word of a-z goes straight to the model: there is nothing to normalise or to cut."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, fresh: set[str]) -> None:
+        known = self.known
+        # A full stop or comma after letters is a piece of its own for the tokenizer.
+        ended = {w for w in fresh if w[-1] in ".," and w[:-1].isalpha()}
+        need = {w[:-1] for w in ended}.union(fresh - ended).difference(known)
+        other = []
+        for w in need:
+            if self.plain and w.isascii() and w.isalpha() and w.islower():
+                known[w] = self._plain(w)
+            else:
+                other.append(w)
+        known.update(zip(other, self._ids(other), strict=True))
+        known.update({w: known[w[:-1]] + known[w[-1]] for w in ended})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        """The ids of each text. Lower-casing A-Z first makes more pieces alike, if the tokenizer does so anyway."""
+        split = [self._lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
+        fresh = set().union(*split).difference(known)
         if fresh:
-            new = dict(zip(fresh, self._ids(fresh), strict=True))
-            room = CACHE_WORDS - len(known)
-            if room > 0:
-                known.update([x for x in new.items() if len(x[0]) <= CACHE_CHARS][:room])
-            get = (lambda w: known[w] if w in known else new[w]) if any(w not in known for w in new) else known.__getitem__
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._learn(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in list(islice(reversed(known), max(0, len(known) - CACHE_WORDS))):  # the last to come go first
+            del known[w]
+        return out
+
+    def _lowered(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").translate(_LOW).decode("utf-8", "surrogatepass") if self.lower and "<|" not in text else text
