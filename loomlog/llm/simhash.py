@@ -288,12 +288,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best")
     # The fingerprint's group first: exact copies are combined before anything is dealt out by component.
     keep = found.groupBy("root", "fp").agg(best).groupBy("root").agg(F.min("best").alias("best"))
-    keep = keep.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.text_hash").alias("_keep_hash"))
-    order = common.free_name(docs, "_copy")
-    hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    kept = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(F.col("_keep_id")) & (hashed == F.col("_keep_hash")))
-    one = Window.partitionBy("_keep_id", "_keep_hash").orderBy("_keep_id")
-    return kept.withColumn(order, F.row_number().over(one)).where(F.col(order) == 1).select(*(docs[c] for c in docs.columns))
+    # Plain equalities of columns that are never null: the join's shuffle of the texts then serves the window too.
+    names = [common.free_name(docs, n) for n in ("_key_null", "_key_id", "_key_hash", "_copy")]
+    null, ident, content, copy = names
+    keep = keep.select(F.col("best.n").alias(null), F.coalesce("best.doc_id", F.lit(0)).alias(ident), F.col("best.text_hash").alias(content))
+    keyed = docs.withColumns({null: F.col(doc_id).isNull(), ident: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), content: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    one = Window.partitionBy(null, ident, content).orderBy(ident)
+    return keyed.join(keep, [null, ident, content]).withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
