@@ -62,7 +62,7 @@ def _pieces(source, capacity: int, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.WordEncoder.of(source.value)
         row = 0
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, tokens.SLICE_BYTES):
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 ids += last

@@ -195,7 +195,7 @@ def _write(source, end: int, width: int, block_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = tokens.WordEncoder.of(source.value), ShardWriter(width, block_bytes)
         any_rows = False
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, tokens.SLICE_BYTES):
             any_rows, out = True, []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 out += writer.add(key_of(doc), ids + last)

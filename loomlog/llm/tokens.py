@@ -11,7 +11,9 @@ from array import array
 from itertools import islice
 
 #: Pieces that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
+#: Bytes of text that are cut into pieces at once.
+SLICE_BYTES = 1 << 20
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words on which the short way for plain words is tried before it is used.
 _PROBE = ["a", "the", "tion", "ouier", "zzxq", "internationalisation"]
