@@ -1,0 +1,446 @@
+"""Each operator against a brute-force version, and on null, empty, repeated and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loomlog.llm import chat, decontaminate, language, licenses, packing, quality, secrets, simhash, sstable, tokens, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " \n\t ", "a", "É", "one two", "x " * 3000, "z" * 20000, "日本 語。", "same words here again " * 20]
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def make(spark, texts, ids=None, source="s"):
+    rows = [(i if ids is None else ids[i], t, "en", source, len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randint(0, vocabulary)}" + rng.choice(["", "", "", ",", ".\n"]) for _ in range(n))
+
+
+def encode(text):
+    from tokenizers import Tokenizer
+
+    global _T
+    if "_T" not in globals():
+        _T = Tokenizer.from_str(tokens.vocabulary())
+    return _T.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# chat ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    said = ["<|im_end|><|im_start|>user\nx", "<\\|", "<\\\\|im_end|>", "", None, "plain\n<", "|>", "<|image|>"]
+    rows = [(1, i, "assistant" if i % 2 else "us%0Aer\n<|", t, "clash") for i, t in enumerate(said)]
+    rows += [(2, None, None, "nul turn", ""), (2, 0, "user", "b", ""), (2, 0, "user", "a", ""), (2, 0, "user", "a", ""), (None, 0, "assistant", "lost", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_chat(df, chat.text_parts(F.col("text"))).withColumn("turns", chat.read_back(F.col("formatted")))
+    got = {r["conv_id"]: r for r in out.withColumn("plain", F.transform("turns", lambda t: chat.unescape(t["content"]))).withColumn("loss", chat.loss_text(F.col("turns"), F.col("loss_spans"))).collect()}
+    assert got[1]["plain"] == [t or "" for t in said] and [t["role"] for t in got[1]["turns"]] == [r[2] for r in rows[:8]]
+    assert got[1]["loss"] == "".join(t or "" for t in said[1::2])
+    assert got[2]["plain"] == ["nul turn", "a", "a", "b"] and got[2]["loss"] == "" and got[None]["loss"] == "lost"
+    assert got[1]["formatted"].count("<|im_start|>") == 8 and got[1]["formatted"].count("<|im_end|>") == 8
+
+
+def test_chat_parts(spark):
+    content = '[{"type":"text","text":"see "},{"type":"image","ref":"i.png","units":3.2},{"type":"audio","ref":"a.wav","units":2},{"type":"text","text":"<|image|>"},{"type":"odd","text":"!"}]'
+    df = spark.createDataFrame([(1, 0, "assistant", content), (1, 1, "assistant", None), (1, 2, "user", "[ not json")], "conv_id long, turn long, role string, text string")
+    r = chat.format_chat(df, chat.json_parts(F.col("text"))).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("turns"), F.col("loss_spans"))).first()
+    assert r["turns"][0]["content"] == "see <|image|><|audio|><\\|image|>!" and r["loss"] == "see <|image|>!" and r["turns"][2]["content"] == "[ not json"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "i.png", 4), ("audio", "a.wav", 50)] and r["placeholder_tokens"] == 54
+    assert chat.format_chat(df.limit(0), chat.text_parts(F.col("text"))).count() == 0
+
+
+# decontamination ------------------------------------------------------------------------------------------------------------
+
+
+def brute_hits(items, text):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    w, hit, found = words(text), set(), set()
+    for m in {len(x) for x in windows}:
+        for k in range(len(w) - m + 1):
+            if items_of := windows.get(tuple(w[k : k + m])):
+                hit |= set(range(k, k + m))
+                found |= items_of
+    return len(w), len(hit), sorted(str(i) for i in found if i is not None)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_decontamination(spark, block):
+    rng = random.Random(1)
+    items = [(i, prose(rng, rng.choice([0, 1, 3, 9, 10, 11, 25]), 30)) for i in range(30)] + [(None, "null id words"), (7, None), (8, "Été déjà VU"), (9, prose(rng, 14, 30))]
+    texts = [prose(rng, rng.randint(0, 120), 30) + " " + (rng.choice(items)[1] or "") + " " + prose(rng, 9, 30) for _ in range(40)] + [None, "null ID, words!", "été déjà vu", *ODD]
+    docs = make(spark, texts).withColumn("items", F.lit("clash")).withColumn("n_hit", F.lit("clash")).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.scan(docs, bench, block_chars=block).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["n_words"], got[i]["n_hit_"], got[i]["items_"]) == brute_hits(items, t), t
+        assert got[i]["items"] == "clash" and got[i]["text"] == t
+    clean = decontaminate.remove_contaminated(docs, bench)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(texts) if not brute_hits(items, t)[1]} and clean.columns == docs.columns
+    assert decontaminate.remove_contaminated(docs, bench.limit(0)).count() == len(texts) and decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+# urls -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    assert urls.split_url("HTTP://A.b:80?x#y") == ("a.b:80", "") and urls.split_url("x://É.B/p/q#a?b") == ("É.b", "/p/q") and urls.split_url(None) == urls.split_url("a.b/c") == ("", "")
+    rules = urls.Rules(urls.RULES)
+    assert rules.match("m.example.com", "/en/7") == ("example.com/en/7", "allow") and rules.match("example.com", "/en/8") == ("com/en/", "block")
+    assert rules.match("xexample.net", "/de/8") == ("net/de/", "allow") and rules.match("com", "/en") == (None, None) and rules.match("notcom", "/en/") == (None, None)
+    page = "<html><style>bad</style><p>good news</p><b>casino spam</b> the</html>" * 3
+    rows = [(0, "http://goodnews.net/de/1", page), (1, "http://casinospam.org/es/2", page), (2, "http://newsgood.io/x", page), (3, "http://spamcasino.io/x", page), (4, None, None), (4, "", ""), (None, "http://example.com/en/71", None)]
+    rows += [(10 + i, f"http://good{i}news.net/de/{i}", page) for i in range(5)] + [(20 + i, f"http://spam{i}casino.org/es/{i}", page) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    assert {"good", "news", "casino", "spam", "the", "bad"} - set(urls.word_counts(df)) == {"bad"}
+    got = {(r["page_id"], r["host"]): r for r in urls.filter_urls(df, urls.RULES).collect()}
+    assert len(got) == len(rows) - 1
+    assert got[2, "newsgood.io"]["verdict"] == "allow" and got[3, "spamcasino.io"]["verdict"] == "block" and got[None, "example.com"]["rule"] == "example.com/en/7" and got[4, ""]["path"] == ""
+    assert urls.filter_urls(df.limit(0), urls.RULES).count() == 0 and {r["verdict"] for r in urls.filter_urls(df, []).collect()} == {"allow"}
+
+
+def test_segmenter_is_optimal():
+    counts = {"a": 5, "ab": 3, "b": 2, "ba": 7, "aba": 1}
+    s = urls.Segmenter(counts)
+
+    def cost(words):
+        return sum(s.cost.get(w, s.other + 2.0 * len(w) if len(w) <= 4 and len(w) <= s.longest else float("inf")) for w in words)
+
+    for name in ("abab", "abba", "aabcab", "ccab"):
+        splits = [[name[i:j] for i, j in zip((0, *c), (*c, len(name)), strict=True)] for k in range(len(name)) for c in combinations(range(1, len(name)), k)]
+        assert abs(cost(s.split(name)) - min(map(cost, splits))) < 1e-9
+
+
+# secrets --------------------------------------------------------------------------------------------------------------------
+
+RANDOM = "kX9vQ2mZ7pLw4RtY8sBn"
+
+
+def test_secrets(spark):
+    key, digest = "AKIA" + "ABCDEFGH12345678", "0123456789abcdef" * 2
+    texts = [f"é token = '{digest}' end", f"x {key} AKIASHORT", f"PassWD:abc Api_Key=\"abcdef\" ſecret=abcdefgh {digest}", f"odd {RANDOM} word", "id 123e4567-e89b-12d3-a456-426614174000 sha256:" + "Ab1" * 15, "internationalisation12345678901234567890", None, *ODD, "password: token = abcdefgh", "1234567890" * 4]
+    df = make(spark, texts).withColumn("spans", F.lit("clash"))
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] for r in secrets.scan(df).collect()}
+    assert got[0] == [("assign", 2, 2 + 9 + 32), ("hex", 11, 43)] and got[1] == [("access", 2, 22)]
+    assert [s[0] for s in got[2]] == ["assign", "hex"] and got[3] == [("random", 4, 24)] and got[4] == [] and got[6] == []
+    assert all(got[i] == [] for i in range(7, 7 + len(ODD))) and got[7 + len(ODD)] == [] and got[8 + len(ODD)] == [("hex", 0, 40)]
+    out = {r["doc_id"]: r for r in secrets.redact(df).collect()}
+    assert out[0]["text"] == "é [SECRET]' end" and out[0]["n_chars"] == len(out[0]["text"]) and out[3]["text"] == "odd [SECRET] word" and out[6]["text"] is None and out[0]["spans"] == "clash"
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+# language -------------------------------------------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    words = {"en": "the of and to in is was for that with".split(), "fr": "le la les des est une dans pour que été".split(), "de": "der die das und ist nicht ein zu für über".split()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(5, 60))), k) for i in range(240) for k in [("en", "fr", "de")[i % 3]]]
+    rows += [(900, None, "en"), (901, "123 !?", "en"), (902, "", None), (None, "the of and", "en"), (903, "der die das und", None), (903, "der die das und", None), (904, "the " * 5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("label", F.lit("clash"))
+    model = language.fit(df.where(F.col("doc_id").isNotNull() & ~language.held_out()), "text", "lang", most_rows=50)
+    got = language.identify(df, model, keep=(F.col("doc_id"), F.col("lang"), language.held_out().alias("held_out"))).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+    assert len(held) > 30 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
+    by = {r["doc_id"]: r for r in got}
+    assert (by[900]["lang_pred"], by[901]["lang_pred"], by[902]["lang_pred"]) == ("und",) * 3 and by[903]["lang_pred"] == "de" and by[904]["lang_pred"] == "en" and by[None]["held_out"] is False
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
+    none = language.fit(df.limit(0), "text", "lang")
+    assert language.identify(df, none).first()["lang_pred"] == "und"
+    assert (model.w == 0).mean() > 0.5
+
+
+def test_language_counts_whole_texts(monkeypatch):
+    text = "Añb cd" * 50
+    whole = language.counts(text)
+    monkeypatch.setattr(language, "_PART", 7)
+    assert (language.counts(text) == whole).all() and whole.sum() == 3 * (len(text) + 2) - 3
+
+
+# packing and shards -----------------------------------------------------------------------------------------------------------
+
+
+def test_first_fit_decreasing():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 100):
+        lengths = [rng.randint(1, 20) for _ in range(n)]
+        bins, offsets = packing.first_fit_decreasing(lengths, 20)
+        free: list[int] = []
+        for i in sorted(range(n), key=lambda i: -lengths[i]):
+            b = next((b for b, f in enumerate(free) if f >= lengths[i]), len(free))
+            if b == len(free):
+                free.append(20)
+            assert (bins[i], offsets[i]) == (b, 20 - free[b])
+            free[b] -= lengths[i]
+
+
+def check_packed(rows, texts, capacity):
+    of, seen = defaultdict(list), defaultdict(list)
+    for r in rows:
+        of[r["sequence_id"]].append(r)
+        seen[r["doc_id"]].append(r)
+    for own in of.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity
+    for doc, text in texts:
+        ids, at = [*encode(text), 1], 0
+        for r in sorted(seen[doc], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), crc(ids[at : at + r["length"]]))
+            at += r["length"]
+        assert at == len(ids)
+    return len(of)
+
+
+def test_packing(spark):
+    rng = random.Random(5)
+    texts = [*ODD, None, *(prose(rng, rng.randint(1, 300)) for _ in range(60))]
+    df = make(spark, texts).withColumn("start", F.lit("clash")).repartition(4)
+    rows = packing.pack(df, capacity=256, group_docs=20).collect()
+    n = check_packed(rows, list(enumerate(texts)), 256)
+    assert sum(r["length"] for r in rows) > 0.8 * 256 * n and len({r["sequence_id"] >> 32 for r in rows}) > 1
+    same = packing.pack(make(spark, ["a b"] * 50, [None] * 25 + [3] * 25), capacity=64).collect()
+    assert len(same) == 50 and len({(r["sequence_id"], r["offset"]) for r in same}) == 50
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_sstable(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [*ODD, None, *(prose(rng, rng.randint(0, 200)) for _ in range(80))]
+    ids = [rng.randint(-(10**12), 10**12) for _ in texts]
+    docs = make(spark, texts, ids).withColumn("h", F.lit("clash"))
+    path = f"file://{tmp_path}/s"
+    sstable.write(docs, path, block_bytes=300)
+    got = {r["doc_id"]: r for r in sstable.read_summary(spark, path).collect()}
+    start = 0
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        want = [*encode(t), 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want), crc(want))
+        start += len(want)
+    found = {r["doc_id"]: r["ids"] for r in sstable.lookup(spark, path, [ids[3], ids[20], 5]).collect()}
+    assert found == {ids[k]: [*encode(texts[k]), 2] for k in (3, 20)}
+    odd = f"file://{tmp_path}/odd"
+    sstable.write(make(spark, ["a", "b", "c", "c", None], [None, 1, 1, 1, None]), odd)
+    assert sorted((r["doc_id"] or -1, r["start"], r["n_tokens"]) for r in sstable.read_summary(spark, odd).collect())[0][1] == 0 and sstable.read_summary(spark, odd).count() == 5
+    assert len(sstable.lookup(spark, odd, [1]).collect()) == 3 and len(sstable.lookup(spark, odd, [None]).collect()) == 2
+    sstable.write(docs.limit(0), f"file://{tmp_path}/none")
+    assert sstable.read_summary(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_shard_format(width):
+    rng = random.Random(7)
+    keys = sorted(bytes(rng.choices(b"ab\0", k=rng.randint(0, 6))) for _ in range(200))
+    rows = [(k, np.array([rng.randint(0, 60000) for _ in range(rng.randint(0, 9))], "<u4").tobytes()) for k in keys]
+    w = sstable.ShardWriter(width, 50)
+    data = b"".join(r + b"\n" for r in [x for k, v in rows for x in w.add(k, v)] + list(w.finish()))
+    shard = sstable.Shard(data)
+    assert list(shard.entries()) == rows and len(shard.blocks) > 10 and shard.docs == 200
+    for k in {*keys, b"zz", b"abx"}:
+        assert shard.lookup(k) == [v for q, v in rows if q == k]
+    with pytest.raises(ValueError):
+        sstable.Shard(data[:-10] + b"x" * 10)
+
+
+def test_ids_by_pieces():
+    odd = ["A.B., c", "<|endoftext|> X", "x<|startoftext|>y <|STARTOFTEXT|>", "ÉTÉ, ΑΣ, ΣΑΣ.", "a\u0301 b", "don't, I'll. 12.5, 3", "\t tab\r\n x", "İstanbul", "a,, b.. ,.", "\u00a0nb sp", *ODD]
+    got = tokens.WordEncoder(tokens.vocabulary()).encode(odd)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in odd]
+
+
+# simhash --------------------------------------------------------------------------------------------------------------------
+
+
+def brute_print(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    bits = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for b in range(64):
+            bits[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * bits[b] > len(grams))
+
+
+def classes(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(nodes, 2):
+        if linked(a, b):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("blocks", [2, 3, 4])
+def test_links_connect_all_that_is_near(spark, blocks):
+    rng = random.Random(blocks)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for _ in range(260):
+        x = rng.choice(list(fps))
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            x ^= 1 << b
+        fps.add(x)
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(150)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    edges = simhash.links(df, blocks)
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges.collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in got)
+    pairs = set(got) | {(b, a) for a, b in got}
+    want = classes(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert classes(sorted(fps), lambda a, b: (a, b) in pairs) == want
+    groups = defaultdict(set)
+    for r in simhash.components(edges).collect():
+        groups[r["root"]].add(r["node"] % (1 << 64))
+    by = defaultdict(set)
+    for n, root in want.items():
+        by[root].add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in by.values() if len(g) > 1)
+
+
+def test_bucket_links_in_large_buckets():
+    """The lookup by flipped bits and the plain loop agree with all pairs."""
+    rng = random.Random(9)
+    a, b = simhash.cuts(3)[0]
+    members = {rng.getrandbits(10) << 5 | (1 << rng.randint(30, 40) if rng.random() < 0.5 else 0) for _ in range(700)}
+    keys, of = simhash.variants(np.array(sorted(members), np.uint64), 3)
+    buckets = defaultdict(list)
+    for k, x in zip(keys.tolist(), of.tolist(), strict=True):
+        buckets[k].append(x)
+    linked = set()
+    for k, xs in buckets.items():
+        if len(xs) > 1:
+            linked |= set(simhash.link_bucket(k, xs, 3))
+    pairs = linked | {(y, x) for x, y in linked}
+    nodes = sorted(members)
+    assert classes(nodes, lambda x, y: (x ^ y).bit_count() <= 3) == classes(nodes, lambda x, y: (x, y) in pairs)
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(10)
+    base = [prose(rng, 200) for _ in range(12)]
+    texts = base + [t.upper() for t in base[:3]] + [t + " more" for t in base[3:6]] + [None, *ODD]
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(make(spark, texts).withColumn("fp", F.lit("clash"))).collect()}
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    assert all(got[i]["fp"] % (1 << 64) == p for i, p in prints.items())
+    want = classes(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    kept = simhash.deduplicate(make(spark, texts).withColumn("root", F.lit("clash")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns[-1] == "root"
+
+
+def test_repeated_and_null_ids(spark):
+    df = make(spark, ["same text here"] * 6 + ["other words entirely different"] * 2 + ["same text here"], [4, 4, 4, None, None, 9, None, None, 4])
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == 9 and Counter(r["component_id"] for r in got) == {4: 7, None: 2}
+    assert sorted((r["doc_id"] is None, r["text"]) for r in simhash.deduplicate(df).collect()) == [(False, "same text here"), (True, "other words entirely different")]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
+
+
+# quality --------------------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    rng = random.Random(12)
+    texts = [None, *ODD, *(prose(rng, rng.randint(0, 200), rng.choice([3, 10, 400])) for _ in range(60)), "#a\x1cb\u00a0c| <x>\r\n\r\n\x0b\n#a\x1cb\u00a0c| <x>\r"]
+    got = {r["doc_id"]: r for r in quality.assess(make(spark, texts).withColumn("line", F.lit("clash")).withColumn("_words", F.lit(1))).collect()}
+    for i, t in enumerate(texts):
+        r, want = got[i], brute_counts(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_frequent_lines(spark):
+    rng = random.Random(13)
+    banner = "Accept All cookies of page 12 and subscribe now " * 8
+    mixed = [f"{prose(rng, 15).replace(chr(10), ' ')}\n{banner.replace('12', str(i % 7))}\n{prose(rng, 8).replace(chr(10), ' ')}" for i in range(30)]
+    clean = [prose(rng, 120) for _ in range(5)]
+    copies = [prose(rng, 120)] * 40
+    short = [f"{banner}\n{t}" for t in clean]
+    docs = make(spark, mixed + clean + copies).unionByName(make(spark, short, [1000 + i for i in range(5)], None))
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    assert not any(got[i]["kept"] for i in range(30)) and all(got[i]["n_lost"] >= 72 for i in range(30))
+    assert all(got[i]["kept"] and got[i]["n_lost"] == 0 for i in [*range(30, 75), *range(1000, 1005)])
+    kept = quality.keep_good(docs.unionByName(make(spark, [None, ""], [None, None])))
+    assert {r["doc_id"] for r in kept.collect()} == {*range(30, 75), *range(1000, 1005)} and kept.columns == docs.columns
+    assert quality.assess(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
+
+
+# licences -------------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    s = dict(licenses.SENTENCES)
+    texts = [
+        "Words. Released under the MIT License.\nMore", f"{s['mit-name']}\n{s['mit-notice']}\n\n{s['asis-software']} Tail.", f"x\n{s['apache-head']} {s['apache-use']}\n### {s['apache-copy']} ***", f"{s['asis-software']}",
+        f"{s['mit-ref']} {s['gpl3-ref']}", "the license is not known", None, *ODD,
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(make(spark, texts).withColumn("sentence_ids", F.lit("clash"))).collect()}
+    assert [got[i]["licenses"] for i in range(7)] == [["MIT"], ["MIT"], ["Apache-2.0"], [], ["MIT", "GPL-3.0-only"], [], []]
+    assert got[3]["n_unused"] == 1 and got[2]["sentence_ids"] == ["apache-head", "apache-use", "apache-copy"] and got[4]["kinds"] == ["permissive", "copyleft"]
+    assert all(got[i]["licenses"] == [] for i in range(7, 7 + len(ODD))) and licenses.scan(make(spark, texts).limit(0)).count() == 0
+    for name, text in licenses.SENTENCES:
+        assert any(a in text.lower() for a in licenses.ANCHORS) or name in {"cc-by-sa", "cc-by", "cc-by-nc"}, name
+    assert len(licenses.known()) == len(licenses.SENTENCES)
+
+
+def test_queries_and_sql(spark):
+    import duckdb
+
+    from loomlog.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in queries.SQL.items():
+        df = queries.QUERIES[name](spark, data)
+        found = con.sql(sql)
+        at = [list(found.columns).index(c) for c in sorted(df.columns)]
+        assert sorted(map(str, ([r[c] for c in sorted(df.columns)] for r in df.collect()))) == sorted(str([r[i] for i in at]) for r in found.fetchall()), name
+    assert hashlib.sha256(b"").hexdigest() == next(r for r in queries.QUERIES["op2_decontaminate"](spark, data).collect() if not r["n_items"])["items_sha256"]
