@@ -66,32 +66,62 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     return df.withColumns({f"_{k}" if k == "n_words" else k: v for k, v in counts.items()}).withColumnRenamed("_n_words", "n_words")
 
 
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _content(docs: DataFrame, text: str, host: str) -> tuple[Column, Column, Column]:
+    """Text, host, and a hash of both."""
+    t, at = F.coalesce(docs[text].cast("string"), F.lit("")), docs[host].cast("string")
+    return t, at, F.xxhash64(docs[host].isNull(), at, t)
+
+
+def _line_hashes() -> Column:
+    return F.transform("_lines", lambda x: F.struct(F.xxhash64(F.col("_host").isNull(), F.col("_host"), _normalised(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(_SPACE)), _SPACES, -1)).alias("n")))
+
+
+def _base_failed(min_words: int, max_repeat: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+
+
+def _lost(rows: DataFrame, max_docs: int) -> DataFrame:
+    """``row, n_lost``: words in lines that too many documents of the host have. ``rows``: a written table with ``row, lines``."""
+    keys = F.transform("lines", lambda x: x["line"])
+    seen = rows.select(F.hash(F.array_min(keys), F.array_max(keys)).alias("text"), F.explode(F.array_distinct(keys)).alias("line"))
+    frequent = seen.groupBy("line").agg(F.count_distinct("text").alias("docs")).where(F.col("docs") > max_docs).select("line")
+    return rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.n").join(frequent, "line").groupBy("row").agg(F.sum("n").alias("n_lost"))
+
+
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, content`` (a hash of text and host), the counts, ``n_lost, base_failed, kept``.
 
     A null text has no words and fails; a null host is a host of its own; ids may be null or repeated, every row is judged. An
     empty table gives no rows. Other columns are not read. ``n_lost``: words in lines that are too frequent.
     """
-    t, at = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(host).cast("string")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_text"), at.alias("_host"), F.xxhash64(F.col(host).isNull(), at, t).alias("content"))
-    rows = with_counts(rows, "_text")
-    lines = F.transform("_lines", lambda x: F.struct(F.xxhash64(F.col("_host").isNull(), F.col("_host"), _normalised(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(_SPACE)), _SPACES, -1)).alias("n")))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", *counts, lines.alias("lines")), "quality")
-    keys = F.transform("lines", lambda x: x["line"])
-    seen = rows.select(F.hash(F.array_min(keys), F.array_max(keys)).alias("text"), F.explode(F.array_distinct(keys)).alias("line"))
-    frequent = seen.groupBy("line").agg(F.count_distinct("text").alias("docs")).where(F.col("docs") > max_docs).select("line")
-    lost = rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.n").join(frequent, "line").groupBy("row").agg(F.sum("n").alias("n_lost"))
-    out = rows.drop("lines").join(lost, "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
-    out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
+    t, at, content = _content(docs, text, host)
+    rows = with_counts(docs.select(docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
+    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", *_COUNTS, _line_hashes().alias("lines")), "quality")
+    out = rows.drop("lines").join(_lost(rows, max_docs), "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
+    out = out.withColumn("base_failed", _base_failed(min_words, max_repeat))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost") <= max_lost * F.col("n_words"))).drop("row")
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    bad = staging.stage(assess(docs, doc_id, text, host).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("content").alias("_bad_content")).distinct(), "quality-rejected")
-    t, at = F.coalesce(docs[text].cast("string"), F.lit("")), docs[host].cast("string")
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[host].isNull(), at, t) == F.col("_bad_content")), "left_anti")
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns: those that ``assess`` keeps.
+
+    Counts decide where the text is; only documents depleted of frequent lines are looked up, so the join's small side is few rows
+    and the texts are shuffled only if those are too many to broadcast.
+    """
+    t, at, content = _content(docs, text, host)
+    rows = with_counts(docs.select(docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
+    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "n_words", _line_hashes().alias("lines")), "quality-lines")
+    depleted = rows.drop("lines").join(_lost(rows, max_docs), "row").where(100 * F.col("n_lost") > max_lost * F.col("n_words"))
+    depleted = staging.stage(depleted.select(F.col("doc_id").alias("_bad_id"), F.col("content").alias("_bad_content")).distinct(), "quality-depleted")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[doc_id].alias("_id"), t.alias("_text"), content.alias("_content"))
+    # The filter reads a column that the optimizer can't move it past; pushed below the counts, it would repeat each of them many times.
+    counted = with_counts(whole, "_text").select("_doc", "_id", "_content", "n_words", "n_repeat_words", F.monotonically_increasing_id().alias("_row"))
+    passed = counted.where(~_base_failed(min_words, max_repeat) & (F.col("_row") >= 0)).select("_doc", "_id", "_content")
+    kept = passed.join(depleted, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_content") == F.col("_bad_content")), "left_anti")
+    return kept.select("_doc.*")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
