@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.llm import common
+from loomlog.plans import staging
 
 VERDICTS = ("allow", "block")
 #: Size of the models: words of the unigram model (the most frequent), longest word, buckets of the classifier.
@@ -115,11 +116,23 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(pages: DataFrame, html: str = "html", size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words (a-z) of all pages, ``size`` of them; the driver holds no more."""
+    """Counts of the most frequent words (a-z) of all pages, at most ``size`` of them; the driver holds no more.
+
+    A histogram of the counts (eight steps for each doubling) tells from which count on the words are few enough.
+    """
     common.ship(pages.sparkSession)
     counts = pages.select(F.col(html).cast("string")).mapInArrow(_count_words, "word string, n long")
-    counts = counts.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
+    counts = staging.stage(counts.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
+    steps = {r["step"]: r["n"] for r in counts.groupBy("step").agg(F.count("*").alias("n")).collect()}  # at most 504
+    least, held = None, 0
+    for step in sorted(steps, reverse=True):
+        if held + steps[step] > size:
+            break
+        least, held = step, held + steps[step]
+    if steps and least is None:  # more words than that are equally frequent: a part of them, by a hash
+        least = max(steps)
+        counts = counts.where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(0.9 * size / steps[least] * (1 << 20))))
+    return {r["word"]: r["n"] for r in counts.where(F.col("step") >= F.lit(least)).collect()}
 
 
 def _train(model) -> callable:
