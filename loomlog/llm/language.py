@@ -2,8 +2,8 @@
 
 N-grams of one to three characters are hashed into a fixed number of buckets. Document frequencies are counted over all rows that may
 be learned from. The classifier is fitted with follow-the-regularised-leader updates (per-coordinate rates, elastic-net
-penalty: most weights are exactly zero) on a sample of at most ``MOST_ROWS`` rows of each language, chosen by a hash; a fifth
-of the sample is left out to fit the temperature that calibrates the scores. Whole texts are read throughout.
+penalty: most weights are exactly zero) on a sample of at most ``MOST_ROWS`` different texts of each language, chosen by a hash; a
+fifth of the sample is left out to fit the temperature that calibrates the scores. Whole texts are read throughout.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from loomlog.llm import common
 
 BUCKETS = 1 << 15
 NGRAMS = 3
-#: The bound on the sample: rows of each language that the classifier is fitted on.
+#: The bound on the sample: different texts of each language that the classifier is fitted on.
 MOST_ROWS = 400
 #: Languages that can be learned (the most frequent).
 MOST_LANGUAGES = 200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also other numerals, such as fractions
 _PART = 1 << 20
 
 
@@ -54,7 +54,7 @@ def weighted(found: np.ndarray, values: np.ndarray, idf: np.ndarray) -> np.ndarr
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 class Model:
@@ -129,7 +129,14 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once in a task; the sample's bound holds for what is remembered."""
+    seen: set = set()
     for batch in common.slices(batches):
+        fresh = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fresh.append(key not in seen)
+            seen.add(key)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         found, values = [], []
         for text in batch.column(2).to_pylist():
             c = counts(text)
@@ -140,11 +147,13 @@ def _sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame, text: str, label: str, most_rows: int = MOST_ROWS, epochs: int = EPOCHS) -> Model:
-    """A model from the rows with a label. The sample: of each language the rows with the smallest hashes of their text, ``most_rows`` at most."""
+    """A model from the rows with a label. The sample: of each language the texts with the smallest hashes, ``most_rows`` at most, copies once."""
     spark = rows.sparkSession
     common.ship(spark)
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()}
+    h: Column = F.xxhash64(F.lit(11), "text")
+    texts = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts"))
+    sizes = {r["label"]: max(1, r["texts"]) for r in texts.orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     frequency = np.zeros(BUCKETS + 1)
     for r in rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1
@@ -156,10 +165,9 @@ def fit(rows: DataFrame, text: str, label: str, most_rows: int = MOST_ROWS, epoc
     share: Column = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("label") == name, F.lit(min(1.0, 0.9 * most_rows / n))).otherwise(share)
-    h = F.xxhash64(F.lit(11), "text")
     chosen = rows.select("label", h.alias("h"), "text").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     sample: dict[str, list] = {name: [] for name in languages}
-    sparse = chosen.mapInArrow(_sparse, "label string, h long, found array<int>, counts array<int>").orderBy("h")
+    sparse = chosen.mapInArrow(_sparse, "label string, h long, found array<int>, counts array<int>").dropDuplicates(["label", "h"]).orderBy("h", "label")
     for r in sparse.limit(most_rows * len(languages)).toArrow().to_batches(256):
         for name, found, values in zip(r.column("label").to_pylist(), r.column("found"), r.column("counts"), strict=True):
             if len(sample[name]) < most_rows:

@@ -175,6 +175,18 @@ def test_language(spark):
     assert (model.w == 0).mean() > 0.5
 
 
+def test_language_learns_copies_once(spark):
+    rng = random.Random(3)
+    words = {"en": "the of and to in is was for that with".split(), "fr": "le la les des est une dans pour que été".split()}
+    rows = [(" ".join(rng.choices(words["en"], k=30)), "en") for _ in range(20)] * 300 + [(" ".join(rng.choices(words["fr"], k=30)), "fr") for _ in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", most_rows=50)
+    assert model.predict("that was the end of it")[0] == "en" and model.predict("une des dans le été")[0] == "fr"
+
+
+def test_letters():
+    assert not any(map(language.has_letter, [None, "", "12 _!", "\u00bd \u00b2 \u2167"])) and all(map(language.has_letter, ["\u00bd a", "\u00e9", "\u4e2d"]))
+
+
 def test_language_counts_whole_texts(monkeypatch):
     text = "Añb cd" * 50
     whole = language.counts(text)
