@@ -6,7 +6,7 @@ with a test text has the same k-grams, so both keep the same one: its hash is th
 joined. Each hit is then extended to the windows that hold that k-gram, compared word by word. Shorter test texts have
 no such guarantee; their whole word sequences are looked up by hash at each of the few lengths that occur.
 
-The test side goes to the executors in blocks of at most ``BLOCK_CHARS`` characters; however many blocks there are, a
+The test side goes to the executors in blocks of at most ``BLOCK_CHARS`` bytes; however many blocks there are, a
 worker holds one at a time. Documents are never shuffled.
 """
 
@@ -28,8 +28,8 @@ from loomlog.llm import common
 
 WINDOW = 10
 K = 5
-#: Test characters that one block of the index covers at most (a longer text makes a block of its own).
-BLOCK_CHARS = 8 << 20
+#: Bytes of test texts that one block of the index covers at most (a longer text makes a block of its own).
+BLOCK_CHARS = 4 << 20
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MULT = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -86,27 +86,30 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW, k: int = K) -> None:
         self.window, self.k = window, k
-        self.items: dict[tuple, set] = defaultdict(set)
-        for item, text in items:
-            seq = words(text)
-            for i in range(max(1, len(seq) - window + 1) if seq else 0):
-                self.items[tuple(seq[i : i + window])].add(item)
         self.vocabulary: dict[bytes, int] = {}
-        for seq in self.items:
+        one: dict = {}  # equal words, and equal sets of items, are one object
+        seqs = [(item, [one.setdefault(x, x) for x in words(text)]) for item, text in items]
+        for _, seq in seqs:
             for word in seq:
                 self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
         self.codes = word_codes(self.vocabulary)
-        prints: list[int] = []
-        short: dict[int, list[int]] = defaultdict(list)
-        for seq in self.items:
-            codes = self.codes[[self.vocabulary[x] for x in seq]]
-            if len(seq) == window:
+        found: dict[tuple, set] = defaultdict(set)
+        prints: list[np.ndarray] = [np.empty(0, np.uint64)]
+        short: dict[int, list[np.ndarray]] = defaultdict(list)
+        for item, seq in seqs:
+            if not seq:
+                continue
+            for i in range(max(1, len(seq) - window + 1)):
+                found[tuple(seq[i : i + window])].add(item)
+            codes = self.codes[np.fromiter(map(self.vocabulary.__getitem__, seq), np.int64, len(seq))]
+            if len(seq) >= window:
                 hashes = gram_hashes(codes, k)
-                prints += hashes[winnow(hashes, window - k + 1)].tolist()
+                prints.append(hashes[winnow(hashes, window - k + 1)])
             else:
-                short[len(seq)] += gram_hashes(codes, len(seq)).tolist()
-        self.prints = np.unique(np.array(prints, np.uint64))
-        self.short_prints = {m: np.unique(np.array(x, np.uint64)) for m, x in short.items()}
+                short[len(seq)].append(gram_hashes(codes, len(seq)))
+        self.items = {seq: one.setdefault(ids, ids) for seq, ids in ((seq, frozenset(ids)) for seq, ids in found.items())}
+        self.prints = np.unique(np.concatenate(prints))
+        self.short_prints = {m: np.unique(np.concatenate(x)) for m, x in short.items()}
 
     def hits(self, seqs: list[list[bytes]]) -> Iterator[tuple[np.ndarray, set]]:
         """For each text the words inside any occurrence of a window, and the items of those windows."""
