@@ -284,7 +284,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
     Among rows with the same smallest id the one with the smallest text hash stays; of rows equal in both, any one.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, radius)
+    return keep_first(docs, near_duplicates(docs, doc_id, text, shingle, radius), doc_id, text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root of ``found`` (``doc_id, text_hash, fp, root``, a row for each of ``docs``), as ``deduplicate`` chooses."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best")
     # The fingerprint's group first: exact copies are combined before anything is dealt out by component.
     keep = found.groupBy("root", "fp").agg(best).groupBy("root").agg(F.min("best").alias("best"))

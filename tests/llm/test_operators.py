@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomlog.llm import chat, decontaminate, language, licenses, packing, quality, secrets, simhash, sstable, tokens, urls
+from loomlog.llm import chat, decontaminate, language, licenses, nearcopies, packing, quality, secrets, simhash, sstable, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " \n\t ", "a", "É", "one two", "x " * 3000, "z" * 20000, "日本 語。", "same words here again " * 20]
@@ -385,6 +385,31 @@ def test_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_near_copies(spark):
+    """All texts at a true similarity of 0.8 or more are linked, and no others."""
+    rng = random.Random(16)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for _ in range(30):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        for changes in (0, 1, 2, 4, 6, 8, 12):
+            copy = list(words)
+            for i in rng.sample(range(300), changes):
+                copy[i] = "other"
+            texts.append(" ".join(copy))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{prose(rng, 30)} {passage}" for _ in range(20)]
+
+    def grams(t):
+        w = lower(t).split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(t) for t in texts]
+    want = classes(list(range(len(texts))), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    kept = nearcopies.deduplicate(make(spark, texts).withColumn("root", F.lit("clash")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns[-1] == "root"
+    assert len(set(want.values())) < 150 and nearcopies.deduplicate(make(spark, texts).limit(0)).count() == 0
+
+
 # quality --------------------------------------------------------------------------------------------------------------------
 
 
