@@ -2,11 +2,11 @@
 
 Only DataFrame functions: texts never leave the JVM. Counts of a text are array expressions over its own words. For the lines, each
 normalised line is hashed together with its host; the documents that have it are counted; lines in more than
-``max_docs`` of them are removed, and a document that loses more than ``max_lost`` percent of its words is rejected.
+``max_docs`` of them are removed from its text, and a document that loses more than ``max_lost`` percent of its words, or keeps
+fewer than ``min_words``, is rejected.
 
-What counts as one document: texts whose smallest and largest line hash agree. Copies of a text, exact or nearly so,
-thus count once. They are for the near-duplicate stage to thin out; otherwise each line of a text that was
-copied often would pass for boilerplate, and no copy would stay.
+What counts as one document: a text, by a 64-bit hash of all of it. Exact copies on a host thus count once. Near copies are
+documents of their own, so lines that more than ``max_docs`` of them share are boilerplate.
 """
 
 from __future__ import annotations
@@ -75,8 +75,12 @@ def _content(docs: DataFrame, text: str, host: str) -> tuple[Column, Column, Col
     return t, at, F.xxhash64(docs[host].isNull(), at, t)
 
 
+def _line_key(line: Column) -> Column:
+    return F.xxhash64(F.col("_host").isNull(), F.col("_host"), _normalised(line))
+
+
 def _line_hashes() -> Column:
-    return F.transform("_lines", lambda x: F.struct(F.xxhash64(F.col("_host").isNull(), F.col("_host"), _normalised(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(_SPACE)), _SPACES, -1)).alias("n")))
+    return F.transform("_lines", lambda x: F.struct(_line_key(x).alias("line"), F.size(F.split(F.btrim(x, F.lit(_SPACE)), _SPACES, -1)).alias("n")))
 
 
 def _base_failed(min_words: int, max_repeat: int) -> Column:
@@ -84,46 +88,61 @@ def _base_failed(min_words: int, max_repeat: int) -> Column:
 
 
 def _lost(rows: DataFrame, max_docs: int) -> DataFrame:
-    """``row, n_lost``: words in lines that too many documents of the host have. ``rows``: a written table with ``row, lines``."""
-    keys = F.transform("lines", lambda x: x["line"])
-    seen = rows.select(F.hash(F.array_min(keys), F.array_max(keys)).alias("text"), F.explode(F.array_distinct(keys)).alias("line"))
-    frequent = seen.groupBy("line").agg(F.count_distinct("text").alias("docs")).where(F.col("docs") > max_docs).select("line")
-    return rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.n").join(frequent, "line").groupBy("row").agg(F.sum("n").alias("n_lost"))
+    """``row, n_lost, gone``: words in lines that too many documents of the host have, and these lines. ``rows``: a written table with ``row, content, lines``."""
+    seen = rows.select("content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    frequent = seen.groupBy("line").agg(F.count_distinct("content").alias("docs")).where(F.col("docs") > max_docs).select("line")
+    found = rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.n").join(frequent, "line")
+    return found.groupBy("row").agg(F.sum("n").alias("n_lost"), F.collect_set("line").alias("gone"))
 
 
-def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, content`` (a hash of text and host), the counts, ``n_lost, base_failed, kept``.
+def _judged(docs: DataFrame, kept: list[Column], doc_id: str, text: str, host: str, max_docs: int, max_lost: int, min_words: int, max_repeat: int) -> DataFrame:
+    """``kept``, ``doc_id, content, _text``, the counts, ``n_lost, base_failed, kept`` and ``gone`` (null: nothing is) for each row.
 
-    A null text has no words and fails; a null host is a host of its own; ids may be null or repeated, every row is judged. An
-    empty table gives no rows. Other columns are not read. ``n_lost``: words in lines that are too frequent.
+    Texts are written once beside their counts; the lines' hashes alone are counted, and what is gone joins back by the row's number.
     """
     t, at, content = _content(docs, text, host)
-    rows = with_counts(docs.select(docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
-    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", *_COUNTS, _line_hashes().alias("lines")), "quality")
+    names = [f"_kept{i}" for i in range(len(kept))]
+    rows = with_counts(docs.select(*(c.alias(n) for c, n in zip(kept, names, strict=True)), docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
+    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), *names, "doc_id", "_host", "content", "_text", *_COUNTS, _line_hashes().alias("lines")), "quality")
     out = rows.drop("lines").join(_lost(rows, max_docs), "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
     out = out.withColumn("base_failed", _base_failed(min_words, max_repeat))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost") <= max_lost * F.col("n_words"))).drop("row")
+    depleted = (100 * F.col("n_lost") > max_lost * F.col("n_words")) | (F.col("n_words") - F.col("n_lost") < min_words)
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns: those that ``assess`` keeps.
+def _cleaned() -> Column:
+    """The text without the lines that are gone."""
+    left = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains("gone", _line_key(x)))
+    return F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
+
 
-    Counts decide where the text is; only documents depleted of frequent lines are looked up, so the join's small side is few rows
-    and the texts are shuffled only if those are too many to broadcast.
+def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, content`` (a hash of text and host), the counts, ``n_lost, base_failed, kept, clean_text``.
+
+    A null text has no words and fails; a null host is a host of its own; ids may be null or repeated, every row is judged. An
+    empty table gives no rows. Other columns are not read. The counts are those of the whole text; ``n_lost``: words in lines that are
+    too frequent; ``clean_text``: the text without them.
     """
-    t, at, content = _content(docs, text, host)
-    rows = with_counts(docs.select(docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
-    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "n_words", _line_hashes().alias("lines")), "quality-lines")
-    depleted = rows.drop("lines").join(_lost(rows, max_docs), "row").where(100 * F.col("n_lost") > max_lost * F.col("n_words"))
-    depleted = staging.stage(depleted.select(F.col("doc_id").alias("_bad_id"), F.col("content").alias("_bad_content")).distinct(), "quality-depleted")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[doc_id].alias("_id"), t.alias("_text"), content.alias("_content"))
-    # The filter reads a column that the optimizer can't move it past; pushed below the counts, it would repeat each of them many times.
-    counted = with_counts(whole, "_text").select("_doc", "_id", "_content", "n_words", "n_repeat_words", F.monotonically_increasing_id().alias("_row"))
-    passed = counted.where(~_base_failed(min_words, max_repeat) & (F.col("_row") >= 0)).select("_doc", "_id", "_content")
-    kept = passed.join(depleted, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_content") == F.col("_bad_content")), "left_anti")
-    return kept.select("_doc.*")
+    found = _judged(docs, [], doc_id, text, host, max_docs, max_lost, min_words, max_repeat)
+    return found.select("doc_id", "content", *_COUNTS, "n_lost", "base_failed", "kept", _cleaned().alias("clean_text"))
+
+
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns; too frequent lines are gone from the text, ``n_chars`` follows."""
+    found = _judged(docs, [docs[c] for c in docs.columns], doc_id, text, host, max_docs, max_lost, min_words, max_repeat).where("kept")
+    lines = F.col("gone").isNotNull()
+    found = found.withColumn("_clean", _cleaned())
+    out = []
+    for i, c in enumerate(docs.columns):
+        col = F.col(f"_kept{i}")
+        if c == text:
+            col = F.when(lines, F.col("_clean")).otherwise(col)
+        elif c == "n_chars":
+            col = F.when(lines, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(col)
+        out.append(col.alias(c))
+    return found.select(*out)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all documents."""
-    return assess(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return assess(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost", "clean_text")

@@ -448,6 +448,34 @@ def test_frequent_lines(spark):
     assert quality.assess(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_documents_of_shared_lines_count_one_by_one(spark):
+    rng = random.Random(14)
+    shared = [" ".join(f"s{rng.randint(0, 9999)}" for _ in range(8)) for _ in range(10)]
+    texts = ["\n".join([*shared, " ".join(f"own{i}x{j}" for j in range(8))]) for i in range(25)]
+    digits = [f"{'some line of words ' * 20}{100 + i}" for i in range(25)]
+    docs = make(spark, texts).unionByName(make(spark, digits, list(range(100, 125)), "t"))
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    assert all(got[i]["n_lost"] == 80 and not got[i]["kept"] and got[i]["clean_text"] == texts[i].split("\n")[-1] for i in range(25))
+    assert all(got[i]["n_lost"] == 81 and not got[i]["kept"] for i in range(100, 125))
+    once = {r["doc_id"]: r for r in quality.assess(make(spark, texts[:15] + texts[:15])).collect()}
+    assert all(r["n_lost"] == 0 for r in once.values())
+
+
+def test_frequent_lines_are_removed(spark):
+    rng = random.Random(15)
+    own = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(25)]
+    texts = [f"{t}\n\nShare this PAGE {100 + i} now\nlast words {' '.join(t.split()[:3])}" for i, t in enumerate(own)]
+    short = [" ".join(t.split()[:48]) + "\nshare this page 123 now" for t in own[:2]]
+    docs = make(spark, texts + short)
+    kept = {r["doc_id"]: r for r in quality.keep_good(docs).collect()}
+    assert set(kept) == set(range(25))
+    for i, t in enumerate(texts):
+        want = t.replace(f"Share this PAGE {100 + i} now\n", "")
+        assert kept[i]["text"] == want and kept[i]["n_chars"] == len(want)
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    assert all(r["n_lost"] == 5 for r in got.values()) and not got[25]["base_failed"] and not got[25]["kept"]
+
+
 # licences -------------------------------------------------------------------------------------------------------------------
 
 
