@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; the identifiers found, in order, make a
-sequence. Ordered rules then match runs of identifiers; the first rule that fits takes its identifiers out, so a
+A text is cut at line feeds and after punctuation; the pieces are normalised, so comment marks go. Known licence sentences are looked
+up from one cut to another, whatever cuts they hold themselves (wrapped lines, colons); the identifiers found, in order, make a sequence. Ordered rules then match runs of identifiers; the first rule that fits takes its identifiers out, so a
 general rule does not fire on what a specific one has used. Only DataFrame functions are used, row by row, without a shuffle.
 """
 
@@ -86,12 +86,18 @@ def known() -> dict[str, str]:
     return {normalise(s): i for i, s in SENTENCES}
 
 
+def _pattern() -> str:
+    """Any known sentence between two cuts, longest first; a cut within it (a wrapped line, a colon) is a space."""
+    return "\n(" + "|".join(s.replace(" ", "[ \n]") for s in sorted(known(), key=len, reverse=True)) + ")(?=\n)"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text (A-Z already lower-cased), in order."""
     cut = F.split(F.regexp_replace(text, _END, "$1\n"), "\n", -1)
-    plain = F.transform(cut, lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    plain = F.filter(F.transform(cut, lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    joined = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
     ids = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
-    found = F.filter(F.transform(plain, lambda s: F.try_element_at(ids, s)), lambda i: i.isNotNull())
+    found = F.transform(F.regexp_extract_all(joined, F.lit(_pattern()), F.lit(1)), lambda s: F.try_element_at(ids, F.translate(s, "\n", " ")))
     return F.when(text.rlike("|".join(ANCHORS)), found).otherwise(F.array().cast("array<string>"))
 
 

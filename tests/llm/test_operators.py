@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -494,6 +495,24 @@ def test_licenses(spark):
     assert len(licenses.known()) == len(licenses.SENTENCES)
 
 
+def test_every_sentence_and_rule_is_found_wrapped(spark):
+    s = dict(licenses.SENTENCES)
+
+    def wrapped(text, width, mark):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+    forms = [lambda t: t, lambda t: wrapped(t, 70, ""), lambda t: wrapped(t, 40, "// "), lambda t: wrapped(t, 25, " * ").replace("\n", "\r\n")]
+    cases = [([i], t) for i, t in s.items()] + [(run, "\n\n".join(s[i] for i in run)) for _, _, run in licenses.RULES]
+    texts = [f"Some words\n\n{chr(10).join(form(p) for p in t.split(chr(10)))}\n\nmore words" for _, t in cases for form in forms]
+    texts.append(s["apache-copy"].replace(" http", "\n\n    http"))
+    got = {r["doc_id"]: r for r in licenses.scan(make(spark, texts)).collect()}
+    for i in range(len(texts) - 1):
+        assert got[i]["sentence_ids"] == cases[i // len(forms)][0], texts[i]
+    for k, (name, _, _) in enumerate(licenses.RULES):
+        assert got[(len(s) + k) * len(forms) + 1]["licenses"] == [name]
+    assert got[len(texts) - 1]["sentence_ids"] == ["apache-copy"]
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
