@@ -29,6 +29,7 @@ BLOCKS = 3
 SHINGLE = 3
 SEED = 42
 _CHUNK = 1 << 16
+_FILE_EDGES = 1 << 15
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -232,8 +233,8 @@ def links(fps: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFra
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``: root is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps, each written to the shared folder. The smallest neighbour comes from an
-    aggregation with map-side combine, then joins back, so a hub is never one task's group.
+    Alternating large-star and small-star steps, each written to the shared folder, in a file for each ``_FILE_EDGES`` edges at least. The
+    smallest neighbour comes from an aggregation with map-side combine, then joins back, so a hub is never one task's group.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -245,14 +246,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        parts = -(-state[0] // _FILE_EDGES)
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        mid = staging.write_table(large, "cc")
+        mid = staging.write_table(large, "cc", parts)
         e = spark.read.schema("u long, v long").parquet(mid)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
-        after = staging.write_table(small, "cc")
+        after = staging.write_table(small, "cc", parts)
         for old in (path, mid):
             staging.remove(spark, old)
         path = after
@@ -262,36 +264,51 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, first_id, root`` for every fingerprint of ``prints(doc_id, fp)``: its smallest id, and its class as a fingerprint."""
+    with staging.Scratch(prints.sparkSession) as scratch:
+        firsts = scratch.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+        roots = components(links(firsts.select("fp"), radius=radius))
+        of = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        return scratch.stage(of, "simhash-roots", keep=True)
+
+
+def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    return staging.stage(fingerprints(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")], text, shingle), "simhash")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, text_hash, fp, root, component_id`` (root: the class as a fingerprint).
 
     ``component_id`` is the smallest id of the rows whose fingerprints are linked, directly or through others. Null and
     empty texts have the fingerprint zero and are linked like any other; a null id counts as larger than all ids, and
-    a component of null ids alone has the component id null. Repeated rows each give a row. Other columns are not read.
+    a component of null ids alone has the component id null. Repeated rows each give a row; an empty table gives none. Texts may
+    be of any length: hashes are counted in chunks. Other columns are not read.
     """
-    prints = staging.stage(fingerprints(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")], text, shingle), "simhash")
-    firsts = staging.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(firsts.select("fp"), radius=radius))
-    of = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    of = staging.stage(of, "simhash-roots")
+    prints = _prints(docs, doc_id, text, shingle)
+    of = classes(prints, radius)
     component = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = of.join(component, "root").select("fp", "root", "component_id")
+    # Only a projection follows the join on fp, so a fingerprint that many rows share can be split over tasks.
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each component: the smallest id, and of rows with that id one.
 
-    Among rows with the same smallest id the one with the smallest text hash stays; of rows equal in both, any one.
+    Among rows with the same smallest id the one with the smallest text hash stays; of rows equal in both, any one. Null ids come last.
     """
-    return keep_first(docs, near_duplicates(docs, doc_id, text, shingle, radius), doc_id, text)
+    prints = _prints(docs, doc_id, text, shingle)
+    return keep_first(docs, prints, classes(prints, radius), doc_id, text)
+
 
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root of ``roots(fp, root)``; ``prints``: ``doc_id, text_hash, fp`` of each row of ``docs``.
 
-def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each root of ``found`` (``doc_id, text_hash, fp, root``, a row for each of ``docs``), as ``deduplicate`` chooses."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best")
-    # The fingerprint's group first: exact copies are combined before anything is dealt out by component.
-    keep = found.groupBy("root", "fp").agg(best).groupBy("root").agg(F.min("best").alias("best"))
+    The first row of each fingerprint is found before anything is joined, so copies are combined where they are read.
+    """
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best"))
+    keep = first.join(roots.select("fp", "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     # Plain equalities of columns that are never null: the join's shuffle of the texts then serves the window too.
     names = [common.free_name(docs, n) for n in ("_key_null", "_key_id", "_key_hash", "_copy")]
     null, ident, content, copy = names
