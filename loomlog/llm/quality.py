@@ -43,11 +43,10 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     df = docs.withColumn("_words", _words(t)).withColumn("_n", F.size("_words"))
     w = F.col("_words")
     grams = F.when(F.col("_n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    df = df.withColumn("_grams", grams).withColumn("_sorted", F.sort_array("_grams"))
-    s = F.col("_sorted")
-    df = df.withColumn("_repeats", F.exists(F.arrays_zip(s.alias("a"), F.slice(s, 2, F.greatest(F.size(s), F.lit(1))).alias("b")), lambda x: x["a"] == x["b"]))
+    df = df.withColumn("_grams", grams)
     # Only texts with a repeated window: where all of its occurrences begin.
-    placed = F.when(F.col("_repeats"), F.sort_array(F.transform(F.col("_grams"), lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
+    placed = F.when(repeats, F.sort_array(F.transform(F.col("_grams"), lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     df = df.withColumn("_placed", placed)
     p = F.col("_placed")
     begins = F.transform(F.filter(p, lambda x, i: (x["h"] == F.get(p, i - 1)["h"]) | (x["h"] == F.get(p, i + 1)["h"])), lambda x: x["i"])
@@ -58,8 +57,8 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_lines", lines)
     counts = {
         "n_words": F.col("_n").cast("long"),
-        "word_chars": F.length(F.translate(t, _SPACE, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
     }
@@ -75,12 +74,14 @@ def _content(docs: DataFrame, text: str, host: str) -> tuple[Column, Column, Col
     return t, at, F.xxhash64(docs[host].isNull(), at, t)
 
 
-def _line_key(line: Column) -> Column:
-    return F.xxhash64(F.col("_host").isNull(), F.col("_host"), _normalised(line))
+def _line_key(normalised: Column) -> Column:
+    return F.xxhash64(F.col("_host").isNull(), F.col("_host"), normalised)
 
 
 def _line_hashes() -> Column:
-    return F.transform("_lines", lambda x: F.struct(_line_key(x).alias("line"), F.size(F.split(F.btrim(x, F.lit(_SPACE)), _SPACES, -1)).alias("n")))
+    """Key and number of words of each line."""
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.transform(F.transform("_lines", _normalised), lambda x: F.struct(_line_key(x).alias("line"), (spaces(x) + 1).alias("n")))
 
 
 def _base_failed(min_words: int, max_repeat: int) -> Column:
@@ -88,61 +89,83 @@ def _base_failed(min_words: int, max_repeat: int) -> Column:
 
 
 def _lost(rows: DataFrame, max_docs: int) -> DataFrame:
-    """``row, n_lost, gone``: words in lines that too many documents of the host have, and these lines. ``rows``: a written table with ``row, content, lines``."""
-    seen = rows.select("content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    frequent = seen.groupBy("line").agg(F.count_distinct("content").alias("docs")).where(F.col("docs") > max_docs).select("line")
+    """``row, n_lost, gone``: words in lines that too many documents of the host have, and these lines. ``rows``: a written table with ``row, content, lines``.
+
+    Documents are counted in two steps, copies first, both with map-side combine. Only a generator and a filter stand between the join on a line
+    and the sums by row, so lines that very many rows have can be split over tasks.
+    """
+    seen = rows.select("content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    frequent = seen.groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("line")
     found = rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.n").join(frequent, "line")
     return found.groupBy("row").agg(F.sum("n").alias("n_lost"), F.collect_set("line").alias("gone"))
 
 
 def _judged(docs: DataFrame, kept: list[Column], doc_id: str, text: str, host: str, max_docs: int, max_lost: int, min_words: int, max_repeat: int) -> DataFrame:
-    """``kept``, ``doc_id, content, _text``, the counts, ``n_lost, base_failed, kept`` and ``gone`` (null: nothing is) for each row.
+    """``kept`` as ``_kept0`` and so on, ``doc_id, content, _host``, the counts, ``n_lost, base_failed, kept`` and ``gone`` (null: nothing is) for each row.
 
-    Texts are written once beside their counts; the lines' hashes alone are counted, and what is gone joins back by the row's number.
+    What is kept is written once beside its counts; the lines' hashes alone are counted, and what is gone joins back by the row's number.
     """
     t, at, content = _content(docs, text, host)
     names = [f"_kept{i}" for i in range(len(kept))]
     rows = with_counts(docs.select(*(c.alias(n) for c, n in zip(kept, names, strict=True)), docs[doc_id].alias("doc_id"), t.alias("_text"), at.alias("_host"), content.alias("content")), "_text")
-    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), *names, "doc_id", "_host", "content", "_text", *_COUNTS, _line_hashes().alias("lines")), "quality")
-    out = rows.drop("lines").join(_lost(rows, max_docs), "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
+    rows = staging.stage(rows.select(F.monotonically_increasing_id().alias("row"), *names, "doc_id", "_host", "content", *_COUNTS, _line_hashes().alias("lines")), "quality")
+    out = rows.drop("lines").join(_lost(rows, max_docs), "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", _base_failed(min_words, max_repeat))
     depleted = (100 * F.col("n_lost") > max_lost * F.col("n_words")) | (F.col("n_words") - F.col("n_lost") < min_words)
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
 
 
-def _cleaned() -> Column:
-    """The text without the lines that are gone."""
-    left = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains("gone", _line_key(x)))
-    return F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
-
-
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, content`` (a hash of text and host), the counts, ``n_lost, base_failed, kept, clean_text``.
+    """One row for each row of ``docs``: ``doc_id, content`` (a hash of text and host), the counts, ``n_lost, base_failed, kept``.
 
     A null text has no words and fails; a null host is a host of its own; ids may be null or repeated, every row is judged. An
-    empty table gives no rows. Other columns are not read. The counts are those of the whole text; ``n_lost``: words in lines that are
-    too frequent; ``clean_text``: the text without them.
+    empty table gives no rows. Very long texts are one row's arrays, as long as the text. Other columns are not read. The counts are
+    those of the whole text; ``n_lost``: words in lines that are too frequent. ``keep_good`` returns the texts without them.
     """
     found = _judged(docs, [], doc_id, text, host, max_docs, max_lost, min_words, max_repeat)
-    return found.select("doc_id", "content", *_COUNTS, "n_lost", "base_failed", "kept", _cleaned().alias("clean_text"))
+    return found.select("doc_id", "content", *_COUNTS, "n_lost", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with all their columns; too frequent lines are gone from the text, ``n_chars`` follows."""
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns; too frequent lines are gone from the text, ``n_chars`` follows.
+
+    Odd rows: as in ``assess``. Columns of any name stay as they are.
+    """
     found = _judged(docs, [docs[c] for c in docs.columns], doc_id, text, host, max_docs, max_lost, min_words, max_repeat).where("kept")
-    lines = F.col("gone").isNotNull()
-    found = found.withColumn("_clean", _cleaned())
-    out = []
-    for i, c in enumerate(docs.columns):
-        col = F.col(f"_kept{i}")
-        if c == text:
-            col = F.when(lines, F.col("_clean")).otherwise(col)
-        elif c == "n_chars":
-            col = F.when(lines, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(col)
-        out.append(col.alias(c))
-    return found.select(*out)
+    names = {c: F.col(f"_kept{i}") for i, c in enumerate(docs.columns)}
+    lines = F.filter(F.split(names[text].cast("string"), "\n", -1), lambda x: ~F.array_contains("gone", _line_key(_normalised(x))))
+    found = found.withColumn("_clean", F.when(F.col("gone").isNotNull(), F.array_join(lines, "\n")))
+    changed = {text: F.col("_clean"), "n_chars": F.length("_clean")}
+    return found.select(*((F.coalesce(changed[c].cast(docs.schema[c].dataType), col) if c in changed else col).alias(c) for c, col in names.items()))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all documents."""
-    return assess(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost", "clean_text")
+    return assess(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost")
+
+
+#: Documents are counted by their text here, by its hash above.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+), again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM g) WHERE c > 1
+), rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid
+), raw AS (
+  SELECT rid, host, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM d)
+), lines AS (
+  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE n > 0
+), often AS (SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT t) > 20
+), lost AS (SELECT rid, sum(n) AS n FROM lines l JOIN often o ON l.norm = o.norm AND l.host IS NOT DISTINCT FROM o.host GROUP BY rid
+), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid
+), f AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (100 * n_lost > 70 * n_words OR n_words - n_lost < 50) AS kept, n_lost FROM b
+"""

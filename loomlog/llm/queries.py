@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
-SQL = {"op1_chat": chat.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op10_licenses": licenses.OP10_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op9_quality": quality.OP9_SQL, "op10_licenses": licenses.OP10_SQL}

@@ -236,7 +236,7 @@ def test_packing(spark):
     rng = random.Random(5)
     texts = [*ODD, None, *(prose(rng, rng.randint(1, 300)) for _ in range(60))]
     df = make(spark, texts).withColumn("start", F.lit("clash")).repartition(4)
-    rows = packing.pack(df, capacity=256, group_docs=20).collect()
+    rows = packing.pack(df, capacity=256, group_pieces=20).collect()
     n = check_packed(rows, list(enumerate(texts)), 256)
     assert sum(r["length"] for r in rows) > 0.8 * 256 * n and len({r["sequence_id"] >> 32 for r in rows}) > 1
     same = packing.pack(make(spark, ["a b"] * 50, [None] * 25 + [3] * 25), capacity=64).collect()
@@ -263,6 +263,9 @@ def test_sstable(spark, tmp_path):
     sstable.write(make(spark, ["a", "b", "c", "c", None], [None, 1, 1, 1, None]), odd)
     assert sorted((r["doc_id"] or -1, r["start"], r["n_tokens"]) for r in sstable.read_summary(spark, odd).collect())[0][1] == 0 and sstable.read_summary(spark, odd).count() == 5
     assert len(sstable.lookup(spark, odd, [1]).collect()) == 3 and len(sstable.lookup(spark, odd, [None]).collect()) == 2
+    same = f"file://{tmp_path}/same"
+    sstable.write(make(spark, ["a b"] * 400, [7] * 400).repartition(4), same)
+    assert sorted(r["start"] for r in sstable.read_summary(spark, same).collect()) == list(range(0, 1200, 3)) and len(list((tmp_path / "same").glob("part-*"))) > 1
     sstable.write(docs.limit(0), f"file://{tmp_path}/none")
     assert sstable.read_summary(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -273,7 +276,7 @@ def test_shard_format(width):
     keys = sorted(bytes(rng.choices(b"ab\0", k=rng.randint(0, 6))) for _ in range(200))
     rows = [(k, np.array([rng.randint(0, 60000) for _ in range(rng.randint(0, 9))], "<u4").tobytes()) for k in keys]
     w = sstable.ShardWriter(width, 50)
-    data = b"".join(r + b"\n" for r in [x for k, v in rows for x in w.add(k, v)] + list(w.finish()))
+    data = b"".join(r + b"\n" for r in [x for k, v in rows for x in w.add(k, sstable.narrow(v, width))] + list(w.finish()))
     shard = sstable.Shard(data)
     assert list(shard.entries()) == rows and len(shard.blocks) > 10 and shard.docs == 200
     for k in {*keys, b"zz", b"abx"}:
@@ -282,10 +285,54 @@ def test_shard_format(width):
         sstable.Shard(data[:-10] + b"x" * 10)
 
 
+def same_ids(texts):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_str(tokens.vocabulary()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    got = tokens.WordEncoder(tokens.vocabulary()).encode([None if t is None else t.encode() for t in texts])
+    return [t for t, x, e in zip(texts, got, want, strict=True) if np.frombuffer(x, "<u4").tolist() != e.ids]
+
+
 def test_ids_by_pieces():
-    odd = ["A.B., c", "<|endoftext|> X", "x<|startoftext|>y <|STARTOFTEXT|>", "ÉTÉ, ΑΣ, ΣΑΣ.", "a\u0301 b", "don't, I'll. 12.5, 3", "\t tab\r\n x", "İstanbul", "a,, b.. ,.", "\u00a0nb sp", *ODD]
-    got = tokens.WordEncoder(tokens.vocabulary()).encode(odd)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in odd]
+    odd = ["A.B., c", "<|endoftext|> X", "x<|startoftext|>y <|STARTOFTEXT|>", "ÉTÉ, ΑΣ, ΣΑΣ.", "a\u0301 b", "don't, I'll. 12.5, 3", "\t tab\r\n x", "İstanbul", "YENİ. YENİ,", "a,, b.. ,.", "\u00a0nb sp", "\u3000x.\u2028y", None, *ODD]
+    assert same_ids(odd) == []
+
+
+def test_ids_of_all_letters():
+    """Each letter alone, after and before others, before a stop and a comma; each other character too."""
+    letters = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    forms = [f"{c} q{c} {c}. Q{c}, a{c}b. {c}{c}., x.{c}." if c.isalpha() else f"{c} q{c} a{c}. {c}b, 1{c}" for c in letters]
+    assert same_ids(forms) == []
+
+
+def test_ids_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    rng = random.Random(17)
+    e = tokens.WordEncoder(tokens.vocabulary())
+    for _ in range(20):
+        texts = [prose(rng, 12, 20) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts])] == [encode(t) for t in texts]
+        assert len(e.known) < 60 and len(e.older) < 60
+
+
+def test_a_tokenizer_that_keeps_white_space():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    texts = ["Two  words, and\nmore.", "", None, " x ", "É. <|endoftext|>"]
+    e = tokens.WordEncoder(source)
+    assert not e.cuts and not e.lower
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() if t else None for t in texts])] == [x.ids for x in Tokenizer.from_str(source).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_wide_ids():
+    big = np.array([70000], "<u4").tobytes()
+    assert sstable.narrow(big, 4) == big
+    with pytest.raises(ValueError):
+        sstable.narrow(big, 2)
 
 
 # simhash --------------------------------------------------------------------------------------------------------------------
@@ -411,6 +458,24 @@ def test_near_copies(spark):
     assert len(set(want.values())) < 150 and nearcopies.deduplicate(make(spark, texts).limit(0)).count() == 0
 
 
+def test_prefixes_lose_no_pair(spark):
+    """Sets of all sizes and similarities: all pairs at 80 % or more are among the candidates, and far copies hardly."""
+    rng = random.Random(19)
+    sets = []
+    for size in (1, 2, 5, 9, 10, 40, 41, 100):
+        for _ in range(6):
+            base = rng.sample(range(10**6), size)
+            sets += [frozenset(base)] + [frozenset(rng.sample(base, max(1, size - rng.randint(0, size // 5 + 1))) + rng.sample(range(10**6), rng.randint(0, size // 6 + 1))) for _ in range(6)]
+    base = rng.sample(range(10**6, 2 * 10**6), 150)
+    far = [frozenset(rng.sample(base, 120) + rng.sample(range(10**6), 30)) for _ in range(60)]
+    sets = sorted(set(sets), key=sorted) + far
+    grams = spark.createDataFrame([(i, len(s), x) for i, s in enumerate(sets) for x in s], "node long, n long, gram long")
+    got = {(r["a"], r["b"]) for r in nearcopies.prefix_pairs(nearcopies.prefixes(grams).withColumn("root", F.col("node"))).collect()}
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert [(len(sets[i]), len(sets[j]), len(sets[i] & sets[j])) for i, j in want - got] == [] and len(want) > 100
+    assert sum(a >= len(sets) - 60 for a, _ in got) < 200
+
+
 # quality --------------------------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +498,32 @@ def test_quality_counts(spark):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def brute_quality(rows):
+    """doc_id, lost words and verdict of rows (doc_id, text, host)."""
+    norm = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[1-9]", "0", lower(x))))
+    docs = defaultdict(set)
+    for _, t, host in rows:
+        for line in (t or "").split("\n"):
+            if norm(line):
+                docs[host, norm(line)].add(t)
+    out = []
+    for i, t, host in rows:
+        n, _, _, _, repeated = brute_counts(t)
+        lost = sum(len(norm(x).split(" ")) for x in (t or "").split("\n") if norm(x) and len(docs[host, norm(x)]) > 20)
+        out.append((i, lost, not (n < 50 or 100 * repeated > 50 * n or 100 * lost > 70 * n or n - lost < 50)))
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(18)
+    shared = [prose(rng, rng.randint(1, 30)).replace("\n", " ") for _ in range(12)]
+    rows = [(i, "\n".join(rng.sample(shared, rng.randint(0, 6)) + [prose(rng, rng.randint(0, 90)) for _ in range(2)]), rng.choice(["a", "a", "b", None])) for i in range(150)]
+    rows += [(200 + i, rows[0][1], "a") for i in range(40)] + [(None, None, None), (300, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["n_lost"], r["kept"]) for r in quality.assess(docs.repartition(5)).collect())
+    assert got == Counter(brute_quality(rows)) and len({(lost > 0, kept) for _, lost, kept in got}) == 4
+
+
 def test_frequent_lines(spark):
     rng = random.Random(13)
     banner = "Accept All cookies of page 12 and subscribe now " * 8
@@ -456,7 +547,7 @@ def test_documents_of_shared_lines_count_one_by_one(spark):
     digits = [f"{'some line of words ' * 20}{100 + i}" for i in range(25)]
     docs = make(spark, texts).unionByName(make(spark, digits, list(range(100, 125)), "t"))
     got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
-    assert all(got[i]["n_lost"] == 80 and not got[i]["kept"] and got[i]["clean_text"] == texts[i].split("\n")[-1] for i in range(25))
+    assert all(got[i]["n_lost"] == 80 and not got[i]["kept"] for i in range(25))
     assert all(got[i]["n_lost"] == 81 and not got[i]["kept"] for i in range(100, 125))
     once = {r["doc_id"]: r for r in quality.assess(make(spark, texts[:15] + texts[:15])).collect()}
     assert all(r["n_lost"] == 0 for r in once.values())
