@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm import common, tokens
+from loomlog.plans import staging
 
 CAPACITY = 2048
 END = 1
-#: Documents for which a group is planned. Groups hold no more than a few times that many pieces unless documents are very long.
-GROUP_DOCS = 8192
+#: Pieces for which a group is planned.
+GROUP_PIECES = 8192
 #: Parts among which equal pieces (rows repeated whole) are dealt, so that they don't share a group.
 SALT = 256
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -64,7 +65,7 @@ def _pieces(source, capacity: int, end: int):
         row = 0
         for batch in common.slices(batches, tokens.SLICE_BYTES):
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(common.utf8(batch.column(1))), strict=True):
                 ids += last
                 n = len(ids) // 4
                 row += 1
@@ -88,17 +89,20 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text has the end id alone. Ids may be null or repeated: every row is a document of its own. No
-    documents give no rows. Other columns of ``docs`` are not read. Sequences of different groups never share an id.
+    A null or empty text has the end id alone; a very long one is cut into as many pieces as it needs. Ids may be null or repeated: every
+    row is a document of its own. No documents give no rows. Other columns of ``docs`` are not read. Sequences of
+    different groups never share an id. Pieces (five numbers each) are written before they are dealt, so that a task that is
+    repeated deals them as before.
     """
     spark = docs.sparkSession
     common.ship(spark)
     source = spark.sparkContext.broadcast(vocabulary or tokens.vocabulary())  # a vocabulary file: a few MB, fixed
-    groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_pieces(source, capacity, end), f"{_PIECE}, salt long")
+    pieces = staging.stage(pieces, "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "salt"), F.lit(groups)).alias("part")
     return pieces.select("*", part).groupBy("part").applyInArrow(_pack(capacity), f"{_PIECE}, sequence_id long, offset long")
 

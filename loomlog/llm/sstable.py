@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ END = 2
 BLOCK_BYTES = 64 << 10
 #: Bytes of text for which a shard is planned.
 SHARD_TEXT = 64 << 20
+#: Rows whose ids and sizes tell the driver where to cut: a thousandth of all, but no fewer and no more than these.
+SAMPLE_ROWS = (20_000, 1_000_000)
 BLOOM_BITS = 10
 MAGIC = b"LOOMSST\x01"
 _FOOTER = struct.Struct("<QQQQQQII8s")
@@ -70,6 +73,18 @@ def _bits(key: bytes, hashes: int, size: int) -> list[int]:
     return [(a + i * b) % size for i in range(hashes)]
 
 
+def narrow(ids: bytes, width: int) -> bytes:
+    """Little-endian 32-bit numbers in ``width`` bytes each; raises if one does not fit."""
+    if width == 4:
+        return ids
+    if width != 2:
+        raise ValueError("an id has 2 or 4 bytes")
+    numbers = np.frombuffer(ids, "<u4")
+    if numbers.size and int(numbers.max()) >= 1 << 16:
+        raise ValueError(f"id {int(numbers.max())} does not fit into 2 bytes")
+    return numbers.astype("<u2").tobytes()
+
+
 class ShardWriter:
     """Turns keys in rising order into the records of a shard; holds one block, the index and the keys' Bloom hashes."""
 
@@ -80,7 +95,7 @@ class ShardWriter:
         self.index, self.keys = bytearray(), []
 
     def add(self, key: bytes, ids: bytes) -> Iterator[bytes]:
-        """ids: little-endian 32-bit numbers."""
+        """ids: little-endian numbers of ``width`` bytes (see ``narrow``)."""
         if self.last is not None and key < self.last:
             raise ValueError("keys must not fall")
         if len(self.block) >= self.block_bytes:
@@ -91,9 +106,7 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        n = len(ids) // 4
-        if self.width == 2:
-            ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        n = len(ids) // self.width
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(n) + key[shared:] + ids
         if key != self.last:
             self.keys.append(key)
@@ -189,16 +202,57 @@ class Shard:
         return found
 
 
-def _write(source, end: int, width: int, block_bytes: int):
-    last = np.array([end], "<u4").tobytes()
+def _key(doc_id: int | None) -> int:
+    """Ids in order, null first."""
+    return -(1 << 63) - 1 if doc_id is None else doc_id
+
+
+def cuts(rows: DataFrame, least: int, shard_text: int = SHARD_TEXT) -> list[int]:
+    """Keys that cut ``rows(doc_id, text)`` into shards of about that many bytes of text, ``least`` of them at least; from a sample.
+
+    A key that fills several shards comes several times.
+    """
+    n = rows.count()
+    share = min(1.0, min(max(n / 1000, SAMPLE_ROWS[0]), SAMPLE_ROWS[1]) / max(1, n))
+    found = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).sample(share, 5).toArrow()
+    keys = sorted(map(_key, found.column("doc_id").to_pylist()))
+    total = sum(found.column("size").to_pylist()) / share
+    shards = max(least, int(-(-total // shard_text)))
+    return [keys[len(keys) * i // shards] for i in range(1, shards)] if keys else []
+
+
+def shard_of(cut: list[int], key: int, mixed: int) -> int:
+    """The shard of a key: those up to the first cut go to shard 0. Where several cuts are equal, ``mixed`` (32 bits) spreads the rows."""
+    low = bisect_left(cut, key)
+    high = bisect_right(cut, key)
+    return low if high - low < 2 else low + (mixed * (high - low + 1) >> 32)
 
+
+def _encode(source, end: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = tokens.WordEncoder.of(source.value), ShardWriter(width, block_bytes)
-        any_rows = False
+        vocabulary, cut = source.value
+        encoder, last = tokens.WordEncoder.of(vocabulary), np.array([end], "<u4").tobytes()
+        row = 0
         for batch in common.slices(batches, tokens.SLICE_BYTES):
+            docs, parts, hashes, out = batch.column(0), [], [], []
+            for doc, x in zip(docs.to_pylist(), encoder.encode(common.utf8(batch.column(1))), strict=True):
+                ids = narrow(x + last, width)
+                row += 1
+                hashes.append(zlib.crc32(ids))
+                parts.append(shard_of(cut, _key(doc), zlib.crc32(row.to_bytes(8, "little"), hashes[-1])))
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), docs, pa.array(hashes, pa.int64()), pa.array(out, pa.binary())], ["part", "doc_id", "h", "ids"])
+
+    return run
+
+
+def _write(width: int, block_bytes: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, any_rows = ShardWriter(width, block_bytes), False
+        for batch in common.slices(batches):
             any_rows, out = True, []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                out += writer.add(key_of(doc), ids + last)
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += writer.add(key_of(doc), ids)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
         if any_rows:
@@ -207,20 +261,25 @@ def _write(source, end: int, width: int, block_bytes: int):
     return run
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END, vocabulary: str | None = None, width: int = 2, block_bytes: int = BLOCK_BYTES, shard_text: int = SHARD_TEXT) -> None:
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END, vocabulary: str | None = None, width: int | None = None, block_bytes: int = BLOCK_BYTES, shard_text: int = SHARD_TEXT) -> None:
     """Write shards in ascending order of ids; part numbers of the files follow the order of their keys.
 
-    Null ids come first. Rows that share an id lie next to each other, by a hash of their text; a large number of them is
-    split over shards. A null or empty text has the end id alone. Other columns are not read. No documents give no files.
+    Texts are encoded where they are read; only ids are shuffled and sorted, ``width`` bytes each (2 or 4; by default 2 if that holds every
+    id of the vocabulary). Null ids come first. Rows that share an id lie next to each other; a large number of them is split
+    over shards, equal rows too, and goes by a hash of the text within a shard. A null or empty text has the end id
+    alone; a text of any length is one entry. Other columns are not read. No documents give no files.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(common.ordered(spark), -(-size // shard_text))
-    source = spark.sparkContext.broadcast(vocabulary or tokens.vocabulary())  # a vocabulary file: a few MB, fixed
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    records = dealt.mapInArrow(_write(source, end, width, block_bytes), "record binary")
+    vocabulary = vocabulary or tokens.vocabulary()
+    if width is None:
+        width = 2 if max(tokens.WordEncoder.of(vocabulary).size, end + 1) <= 1 << 16 else 4
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    cut = cuts(rows, common.ordered(spark), shard_text)
+    source = spark.sparkContext.broadcast((vocabulary, cut))  # a vocabulary file: a few MB, fixed; a number for each shard
+    ids = rows.mapInArrow(_encode(source, end, width), "part int, doc_id long, h long, ids binary")
+    dealt = ids.repartitionById(len(cut) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "ids")
+    records = dealt.mapInArrow(_write(width, block_bytes), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
@@ -239,12 +298,10 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: ``doc_id, start, n_tokens, ids_crc32`` of every document."""
+    """From the files: ``doc_id, start, n_tokens, ids_crc32`` of every document, repeated ids too. A task holds one shard; no files, no rows."""
     common.ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), "content")
     rows = staging.stage(files.mapInArrow(_read, "part long, pos long, doc_id long, at long, n_tokens long, ids_crc32 long"), "sstable-rows")
-
-
     shards = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

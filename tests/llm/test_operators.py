@@ -305,6 +305,12 @@ def test_ids_of_all_letters():
     assert same_ids(forms) == []
 
 
+def test_ids_of_odd_strings():
+    rng = random.Random(20)
+    signs = [*"aabcdezstmlvr'\"().,!?-_<|>#&0123 \t", *"İéÉßö\u0301\u0307Σσſŉª日本—’\u00a0한각ǆ\u200dıKÅﬁ½²٣", "'s", "'T", "'ll", "<|", "|>", " "]
+    assert same_ids(["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(30000)]) == []
+
+
 def test_ids_with_a_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
     rng = random.Random(17)
@@ -312,7 +318,7 @@ def test_ids_with_a_small_cache(monkeypatch):
     for _ in range(20):
         texts = [prose(rng, 12, 20) for _ in range(3)]
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts])] == [encode(t) for t in texts]
-        assert len(e.known) < 60 and len(e.older) < 60
+        assert len(e.known) < 80 and len(e.older) < 80
 
 
 def test_a_tokenizer_that_keeps_white_space():
