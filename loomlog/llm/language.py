@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 NGRAMS = 3
 #: The bound on the sample: different texts of each language that the classifier is fitted on.
 MOST_ROWS = 400
-#: Languages that can be learned (the most frequent).
+#: Languages that a model can have; it is BUCKETS x languages numbers, on the driver and on every worker. More are an error.
 MOST_LANGUAGES = 200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 4
 UNKNOWN = "und"
@@ -147,13 +147,18 @@ def _sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame, text: str, label: str, most_rows: int = MOST_ROWS, epochs: int = EPOCHS) -> Model:
-    """A model from the rows with a label. The sample: of each language the texts with the smallest hashes, ``most_rows`` at most, copies once."""
+    """A model from the rows with a label. The sample: of each language the texts with the smallest hashes, ``most_rows`` at most, copies once.
+
+    Rows without a label or a text are not learned from; without any the model says ``und``. More than ``MOST_LANGUAGES`` labels raise.
+    """
     spark = rows.sparkSession
     common.ship(spark)
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
     h: Column = F.xxhash64(F.lit(11), "text")
     texts = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts"))
-    sizes = {r["label"]: max(1, r["texts"]) for r in texts.orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["label"]: max(1, r["texts"]) for r in texts.orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     frequency = np.zeros(BUCKETS + 1)
     for r in rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1
@@ -184,25 +189,30 @@ def fit(rows: DataFrame, text: str, label: str, most_rows: int = MOST_ROWS, epoc
     return model
 
 
-def _predict(model, text: str):
+def _predict(model, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in common.slices(batches):
-            out = [m.predict(t) for t in batch.column(text).to_pylist()]
-            rest = batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())], [*rest.schema.names, "lang_pred", "score"])
+            out = [m.predict(t) for t in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())], names)
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` for every row; ``und`` with score 0 for a text that is null or has no letter."""
+    """``keep``, ``lang_pred`` and ``score`` for every row; ``und`` with score 0 for a text that is null or has no letter.
+
+    If ``keep`` has columns of these names, the new ones get a trailing underscore. Repeated rows each give a row, an empty table none; equal
+    scores go to the first language by name. Texts of any length are counted in parts.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, both bounded
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(shared, "_text"), schema)
+    kept = docs.select(*keep)
+    names = [common.free_name(kept, n) for n in ("lang_pred", "score")]
+    rows = docs.select(*keep, F.col(text).cast("string").alias(common.free_name(kept, "_text")))
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(_predict(shared, [f.name for f in schema.fields]), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

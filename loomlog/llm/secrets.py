@@ -1,9 +1,11 @@
 """Secret scans: known shapes, and strings that a text vocabulary can hardly shorten.
 
 Three kinds have a pattern (assignments, access keys, long hexadecimal strings). The method adds a fourth, ``random``: a run of
-key characters with both letters and digits is encoded with a byte-pair vocabulary learned on text; where a token covers few
-characters, nothing in the run looks like language. Known identifiers (UUIDs, numbers, dates) and digests named as such
-are excluded. Spans are in code points, end exclusive. Every text is scanned whole, row by row, without a shuffle.
+key characters is encoded with a byte-pair vocabulary learned on text; where a token covers few characters, nothing in
+the run looks like language. What a known shape covers, UUIDs and digests are cut out of a run first, and what is left is judged by itself: as
+a whole if no part between separators is a word, else part by part. Letters alone must cover fewer characters still, since
+long words of many languages are cut finely too. Digits alone are numbers. Spans are in code points, end exclusive. Every text is
+scanned whole, row by row, without a shuffle; the time is linear in its length.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[A-Za-z0-9+]+")
 #: Identifiers and digests that may look random.
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-DIGEST = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-=:_]?(?:[0-9a-fA-F]{32,}|[A-Za-z0-9+/]{22,}={0,2})", re.IGNORECASE | re.ASCII)
+DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:md5|sha1|sha224|sha256|sha384|sha512)[-=:_]?(?:[0-9a-fA-F]{32,}|[A-Za-z0-9+/]{22,}={0,2})", re.IGNORECASE | re.ASCII)
 HEX_DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
-#: Most characters that a token of a random string covers on average.
-MOST_PER_TOKEN = 2.0
+#: Fewest characters of a random string, and the most that a token of it covers on average; of letters alone.
+SHORTEST = 20
+MOST_PER_TOKEN, MOST_LETTERS_PER_TOKEN = 2.0, 1.75
 MASK = "[SECRET]"
 _ENCODINGS: dict[int, object] = {}
 
@@ -71,23 +75,61 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def random_spans(text: str, enc, most: float = MOST_PER_TOKEN) -> Iterator[tuple[int, int, str]]:
+def _left(start: int, stop: int, cut: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a stretch without the spans ``cut`` (in order)."""
+    for a, b in cut:
+        if a > start:
+            yield start, min(a, stop)
+        start = max(start, b)
+    if start < stop:
+        yield start, stop
+
+
+def _is_random(run: str, enc, most: float) -> bool:
+    if run.isdigit() or HEX_DIGEST.fullmatch(run) or not any(map(str.isalnum, run)):
+        return False
+    if not any(map(str.isdigit, run)):
+        most *= MOST_LETTERS_PER_TOKEN / MOST_PER_TOKEN
+    return len(run) <= most * len(enc.encode_ordinary(run))
+
+
+def _is_word(part: str, enc, most: float) -> bool:
+    return len(part) > 3 and part.isalpha() and len(part) > most * len(enc.encode_ordinary(part))
+
+
+def random_spans(text: str, enc, base: list[tuple[int, int, str]], most: float = MOST_PER_TOKEN) -> Iterator[tuple[int, int, str]]:
+    """Stretches of at least ``SHORTEST`` characters that look random, apart from ``base`` (in order), UUIDs and named digests."""
+    at = 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if UUID.search(run) or DIGEST.search(text[max(0, m.start() - 8) : m.end()]) or HEX_DIGEST.fullmatch(run):
-            continue
-        if len(run) <= most * len(enc.encode_ordinary(run)):
-            yield m.start(), m.end(), "random"
+        start, stop = m.span()
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        cut = []
+        for i in range(at, len(base)):
+            if base[i][0] >= stop:
+                break
+            cut.append(base[i][:2])
+        named = [(x.start(), x.end()) for p in (UUID, DIGEST) for x in p.finditer(text, max(0, start - 8), stop)]
+        for a, b in _left(start, stop, sorted(cut + named)):
+            if b - a < SHORTEST:
+                continue
+            whole = _is_random(text[a:b], enc, most)
+            found = [] if whole and not any(_is_word(p[0], enc, most) for p in _PART.finditer(text, a, b)) else [p.span() for p in _PART.finditer(text, a, b) if p.end() - p.start() >= SHORTEST and _is_random(p[0], enc, most)]
+            if whole and not found:
+                found = [(a, b)]
+            for x, y in found:
+                yield x, y, "random"
 
 
 def spans(text: str, enc, most: float = MOST_PER_TOKEN) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind. A random run that a known shape overlaps is left to that."""
-    base = base_spans(text)
-    taken = [(a, b) for a, b, _ in base]
-    more = [s for s in random_spans(text, enc, most) if not any(a < s[1] and s[0] < b for a, b in taken)]
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    """All spans by start, then kind. Random ones overlap no others."""
+    base, merged = base_spans(text), []
+    for a, b, k in sorted(base):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]), k)
+        else:
+            merged.append((a, b, k))
+    return sorted(base + list(random_spans(text, enc, merged, most)), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _scan(source, text: str, most: float):
@@ -103,7 +145,10 @@ def _scan(source, text: str, most: float):
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: bytes | None = None, most: float = MOST_PER_TOKEN) -> DataFrame:
-    """``doc_id, spans`` (array of ``kind, start, stop``) for every row. A null or empty text has none; ids may be null or repeated."""
+    """``doc_id, spans`` (array of ``kind, start, stop``) for every row, repeated ones too; an empty table gives none.
+
+    A null or empty text has none; a text of any length is scanned in linear time. Ids may be null or repeated; other columns are not read.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     source = spark.sparkContext.broadcast(vocabulary or ranks())  # a vocabulary file: under a MB, fixed
@@ -143,7 +188,10 @@ def _redact(source, text: str, length: str | None, most: float):
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", vocabulary: bytes | None = None, most: float = MOST_PER_TOKEN) -> DataFrame:
-    """All rows and columns of ``docs``, secrets replaced by a mask; ``length``, if there is such a column, follows changed texts."""
+    """All rows and columns of ``docs``, secrets replaced by a mask; ``length``, if there is such a column, follows changed texts.
+
+    Null and empty texts stay as they are, repeated rows too; an empty table gives none. Columns of any name stay.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     source = spark.sparkContext.broadcast(vocabulary or ranks())  # a vocabulary file: under a MB, fixed
