@@ -737,6 +737,21 @@ def test_every_sentence_and_rule_is_found_wrapped(spark):
     assert got[len(texts) - 1]["sentence_ids"] == ["apache-copy"]
 
 
+def test_licences_in_sql_where_lines_are_wrapped(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(23)
+    sentences = [t for _, t in licenses.SENTENCES]
+    texts = [f"Copyright 2024 somebody.\n\n{textwrap.fill(' '.join(rng.sample(sentences, rng.randint(1, 4))), rng.choice([30, 72, 500]))}\nmore" for _ in range(120)]
+    texts += ["\n".join(dict(licenses.SENTENCES)[i] for i in run) for _, _, run in licenses.RULES] + [None, ""]
+    make(spark, texts).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = found.sql(licenses.OP10_SQL)
+    ours = licenses.op10_licenses(spark, f"file://{tmp_path}").select(*rows.columns).collect()
+    assert sorted(map(str, map(tuple, ours))) == sorted(map(str, rows.fetchall())) and sum(r["n_sentences"] for r in ours) > 250
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
@@ -744,7 +759,7 @@ def test_queries_and_sql(spark):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, data)
