@@ -6,8 +6,9 @@ with a test text has the same k-grams, so both keep the same one: its hash is th
 joined. Each hit is then extended to the windows that hold that k-gram, compared word by word. Shorter test texts have
 no such guarantee; their whole word sequences are looked up by hash at each of the few lengths that occur.
 
-The test side goes to the executors in blocks of at most ``BLOCK_CHARS`` bytes; however many blocks there are, a
-worker holds one at a time. Documents are never shuffled.
+A test side of at most ``BLOCK_CHARS`` bytes (its size is checked) goes to every worker as an index, and documents are not shuffled. A larger one
+is never gathered: both sides are joined on their fingerprints, and each pair of a document and a test text that
+share one is compared on its texts.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.llm import common
+from loomlog.plans import staging
 
 WINDOW = 10
 K = 5
-#: Bytes of test texts that one block of the index covers at most (a longer text makes a block of its own).
+#: Bytes of test texts of which an index goes to every worker; more are joined.
 BLOCK_CHARS = 4 << 20
+#: Words whose codes a worker remembers.
+_HELD_WORDS = 200_000
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MULT = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -154,70 +159,129 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int, window: int, k: int) -> list:
-    """Broadcasts of pickled indexes. The driver holds the texts of one block at a time."""
-    sc = benchmark.sparkSession.sparkContext
-    out, items, size = [], [], 0
+def _columns(seqs: list[list[bytes]], found: list[tuple[np.ndarray, set]]) -> list[pa.Array]:
+    """Number of words, of hit words, and items."""
+    return [
+        pa.array([len(s) for s in seqs], pa.int64()),
+        pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+        pa.array([sorted(i for i in f if i is not None) for _, f in found], pa.list_(pa.string())),
+    ]
 
-    def close() -> None:
-        nonlocal items, size
-        if items:
-            out.append(sc.broadcast(pickle.dumps(Index(items, window, k))))
-        items, size = [], 0
 
-    for item, body in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("binary")).toLocalIterator():
-        body = bytes(body or b"")
-        if size + len(body) > block_chars:
-            close()
-        items.append((item, body))
-        size += len(body)
-    close()
-    return out
+def _scan(block, text: str, names: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(block.value)
+        for batch in common.slices(batches):
+            seqs = [words(t) for t in common.utf8(batch.column(text))]
+            rest = batch.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *_columns(seqs, list(index.hits(seqs)))], [*rest.schema.names, *names])
+
+    return run
+
+
+def _codes(seq: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Each word's code, the same in every process."""
+    for word in seq:
+        if word not in known:
+            if len(known) > _HELD_WORDS:  # only saves work
+                known.clear()
+            known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1
+    return np.array([known[w] for w in seq], np.uint64)
 
 
-def _scan(blocks: list, text: str, names: list[str]):
-    def load(block) -> Index:
-        value = pickle.loads(block.value)
-        if len(blocks) > 1:
-            block.__dict__.pop("_value", None)  # the file stays; a worker holds one block at a time
-        return value
+def _prints(window: int, k: int, lengths: list[int] | None):
+    """Fingerprints ``(row, size, print)`` of ``(row, text)``. ``lengths``: of the shorter test texts; None: these are the test texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = load(blocks[0]) if len(blocks) == 1 else None
+        known: dict[bytes, int] = {}
         for batch in common.slices(batches):
-            seqs = [words(t) for t in common.utf8(batch.column(text))]
-            state = [(np.zeros(len(s), bool), set()) for s in seqs]
-            for block in blocks:
-                index = only or load(block)
-                for (hit, found), (marked, items) in zip(state, index.hits(seqs), strict=True):
-                    hit |= marked
-                    found |= items
-            columns = [
-                pa.array([len(s) for s in seqs], pa.int64()),
-                pa.array([int(h.sum()) for h, _ in state], pa.int64()),
-                pa.array([sorted(i for i in f if i is not None) for _, f in state], pa.list_(pa.string())),
-            ]
-            rest = batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, *names])
+            rows, sizes, prints = [], [], []
+
+            def add(row: int, size: int, hashes: np.ndarray) -> None:
+                hashes = np.unique(hashes)  # noqa: B023
+                rows.append(np.full(hashes.size, row, np.int64))  # noqa: B023
+                sizes.append(np.full(hashes.size, size, np.int32))  # noqa: B023
+                prints.append(hashes.view(np.int64))  # noqa: B023
+
+            for row, text in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
+                seq = words(text)
+                codes = _codes(seq, known)
+                if len(seq) >= window:
+                    hashes = gram_hashes(codes, k)
+                    add(row, window, hashes[winnow(hashes, window - k + 1)])
+                for m in (lengths if lengths is not None else [len(seq)] if 0 < len(seq) < window else []):
+                    add(row, m, gram_hashes(codes, m))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (rows, sizes, prints)], ["row", "size", "print"])
 
     return run
 
 
+def _compare(window: int, k: int):
+    """Hit words and the item of each pair ``(row, item, item text, text)``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, index = None, None
+        for batch in common.slices(batches):
+            out = []
+            for row, item, body, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.utf8(batch.column(2)), common.utf8(batch.column(3)), strict=True):
+                if index is None or last != body:
+                    last, index = body, Index([("", body)], window, k)
+                ((hit, found),) = index.hits([words(text)])
+                if found:
+                    out.append((row, item, np.flatnonzero(hit)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["row", "item", "at"])
+
+    return run
+
+
+def _joined(docs: DataFrame, bench: DataFrame, body: str, names: list[str], window: int, k: int) -> DataFrame:
+    """The same by a join on fingerprints. ``bench``: ``item, text``. Rows of ``docs`` are numbered in a written table."""
+    spark = docs.sparkSession
+    row, n = common.free_name(docs, "_row"), common.free_name(docs, "_words")
+    docs = staging.stage(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(n, F.size(F.filter(F.split(common.ascii_lower(F.coalesce(F.col(body), F.lit(""))), _NO_WORD, -1), lambda w: w != "")).cast("long")), "leak-docs")
+    with staging.Scratch(spark) as scratch:
+        bench = scratch.stage(bench.distinct().withColumn("id", F.monotonically_increasing_id()), "leak-items")
+        schema = "row long, size int, print long"
+        theirs = scratch.stage(bench.select("id", "text").mapInArrow(_prints(window, k, None), schema), "leak-prints")
+        lengths = [r["size"] for r in theirs.where(F.col("size") < window).select("size").distinct().collect()]  # fewer than ``window``
+        ours = docs.select(row, body).mapInArrow(_prints(window, k, sorted(lengths)), schema)
+        pairs = ours.join(theirs.withColumnRenamed("row", "id"), ["size", "print"]).select("row", "id").distinct()
+        texts = docs.select(F.col(row).alias("row"), F.col(body).alias("text"))
+        pairs = pairs.join(bench.select("id", "item", F.col("text").alias("body")), "id").join(texts, "row")
+        found = scratch.stage(pairs.sortWithinPartitions("id").select("row", "item", "body", "text").mapInArrow(_compare(window, k), "row long, item string, at array<long>"), "leak-hits")
+        hit = found.select("row", F.explode("at").alias("at")).distinct().groupBy("row").agg(F.count("*").alias("hit"))
+        items = found.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        hit = scratch.stage(hit.join(items, "row"), "leak-found", keep=True)
+    hit = hit.select(F.col("row").alias(row), F.struct("hit", "items").alias(common.free_name(docs, "_found")))
+    found = common.free_name(docs, "_found")
+    kept = [F.col(c) for c in docs.columns if c not in (row, n, body)]
+    wanted = [F.col(n).alias(names[0]), F.coalesce(F.col(found)["hit"], F.lit(0)).cast("long").alias(names[1]), F.coalesce(F.col(found)["items"], F.array().cast("array<string>")).alias(names[2])]
+    return docs.join(hit, row, "left").select(*kept, *wanted)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All columns and rows of ``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted ids, as strings, of windows that occur).
 
-    Null and empty texts have no words. Repeated test texts share their windows; a test text with a null id
-    marks words but is not listed. Without test texts nothing is hit. If ``docs`` has columns of those three
-    names, the new ones get a trailing underscore.
+    Null and empty texts have no words; texts may be of any length. Repeated rows each give a row, an empty table none. Repeated test
+    texts share their windows; a test text with a null id marks words but is not listed. Without test texts nothing is hit. If ``docs``
+    has columns of those three names, the new ones get a trailing underscore.
     """
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and the window")
-    common.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    common.ship(spark)
     names = [common.free_name(docs, n) for n in ("n_words", "n_hit", "items")]
     body = common.free_name(docs, "_body")
     fields = [*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StringType()))]
-    blocks = _blocks(benchmark, item_id, item_text, block_chars, window, k)
-    return docs.withColumn(body, F.col(text)).mapInArrow(_scan(blocks, body, names), T.StructType(fields))
+    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    docs = docs.withColumn(body, F.col(text).cast("string"))
+    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_chars:
+        return _joined(docs, bench, body, names, window, k)
+    items = [(r["item"], (r["text"] or "").encode()) for r in bench.where("text <> ''").collect()]  # at most BLOCK_CHARS bytes
+    block = spark.sparkContext.broadcast(pickle.dumps(Index(items, window, k)))  # about 25 bytes for each of them
+    return docs.mapInArrow(_scan(block, body, names), T.StructType(fields))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
