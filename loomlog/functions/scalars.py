@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,7 +60,7 @@ def sha256(data: Column) -> Column:
 def fnv1a64(data: pd.Series) -> pd.Series:
     """FNV-1a with 64 bits, 16 hex digits; Spark has no such function."""
 
-    def one(x: bytes | None) -> str | None:
+    def one(x: bytes | None) -> str | None:  # of equal values one is hashed
         if x is None:
             return None
         h = 0xCBF29CE484222325
@@ -67,7 +68,7 @@ def fnv1a64(data: pd.Series) -> pd.Series:
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
         return f"{h:016x}"
 
-    return data.map(one)
+    return data.map(cache(one))
 
 
 def chunk_score(key: Column) -> Column:

@@ -1,8 +1,9 @@
 """Replay over branches and merges.
 
 ``records``: own records of all streams. ``edges``: ``stream_id, parent_id, fork_offset`` of every stream that inherits (a branch from its
-parent, a merge from its base). Which part of which ancestor a stream sees is worked out on this metadata by a recursive query; the records are
-then read once, with an equi-join on the owner and a bound on the offset.
+parent, a merge from its base). Which part of which ancestor a stream sees is worked out on this metadata first: by the driver while there
+are at most ``SMALL`` edges, else by joins that double the distance each round. The records of the owners found are then read
+once; a small list of owners is a filter on the scan and a broadcast of the bounds, so that no record is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COUNT = iter(range(10**9))
+from loomlog.plans import staging
+
+#: Edges, and pairs of a stream and an ancestor, that the driver works out by itself.
+SMALL, SMALL_PAIRS = 10_000, 200_000
+#: Owners that a filter on the scan names.
+NAMED = 1_000
+_REACH = "stream_id string, owner_id string, max_offset bigint, depth bigint"
+
+
+class Trimmed(ValueError):
+    """A record at a fork is gone, and with it a part of the history."""
 
 
 def edges(streams: DataFrame) -> DataFrame:
@@ -19,50 +30,102 @@ def edges(streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", link.alias("link")).where("link is not null").select("stream_id", F.col("link.stream_id").alias("parent_id"), F.col("link.offset").alias("fork_offset"))
 
 
+def _parents(links: DataFrame) -> dict[str, list[tuple[str, int | None]]] | None:
+    """What each stream links to, if that is little."""
+    rows = links.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return None
+    found: dict[str, list[tuple[str, int | None]]] = {}
+    for r in rows:
+        found.setdefault(r[0], []).append((r[1], r[2]))
+    return found
+
+
+def _walk(start: str, parents: dict[str, list[tuple[str, int | None]]]) -> dict[str, tuple[int | None, int]]:
+    """Ancestors with the smallest bound and the least distance."""
+    found: dict[str, tuple[int | None, int]] = {}
+    level, depth = {start: None}, 0
+    while level:
+        depth += 1
+        above: dict[str, int | None] = {}
+        for at, bound in level.items():
+            for parent, fork in parents.get(at, ()):
+                least = min((x for x in (bound, fork) if x is not None), default=None)
+                if parent not in found and parent != start:
+                    known = above.get(parent, least)
+                    above[parent] = least if known is None else known if least is None else min(known, least)
+        found.update({k: (v, depth) for k, v in above.items()})
+        level = above
+    return found
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """``stream_id, owner_id, max_offset, depth`` of all pairs that ``links(stream_id, parent_id, fork_offset)`` connect, however far apart.
+
+    Round by round: pairs up to k apart, joined with those exactly k apart, give all up to 2k.
+    """
+    with staging.Scratch(links.sparkSession) as scratch:
+        first = links.toDF("stream_id", "owner_id", "max_offset").where("stream_id <> owner_id").distinct()
+        exact = scratch.stage(first, "reach-exact")
+        within, k = scratch.stage(exact.withColumn("depth", F.lit(1).cast("long")), "reach"), 1
+        while True:
+            far = exact.select(F.col("stream_id").alias("start"), F.col("owner_id").alias("stream_id"), F.col("max_offset").alias("bound"))
+            more = within.join(far, "stream_id").where("start <> owner_id").select(F.col("start").alias("stream_id"), "owner_id", F.least("bound", "max_offset").alias("max_offset"), (F.col("depth") + k).alias("depth"))
+            step = within.unionByName(more).groupBy("stream_id", "owner_id").agg(F.min("max_offset").alias("max_offset"), F.min("depth").alias("depth"))
+            exact = exact.join(far, "stream_id").where("start <> owner_id").groupBy(F.col("start").alias("stream_id"), "owner_id").agg(F.min(F.least("bound", "max_offset")).alias("max_offset"))
+            within, exact, k = scratch.stage(step, "reach", keep=True), scratch.stage(exact, "reach-exact"), 2 * k
+            if exact.isEmpty():
+                return within
+
+
 def reach(streams: DataFrame, inherits: DataFrame) -> DataFrame:
     """``stream_id, owner_id, max_offset, depth``: the owners whose records a stream sees, each up to an offset (null: all).
 
     An ancestor is seen up to the smallest fork offset on the way to it.
     """
-    spark = streams.sparkSession
-    n = next(_COUNT)
-    streams.select("stream_id").createOrReplaceTempView(f"reach_streams_{n}")
-    inherits.createOrReplaceTempView(f"reach_edges_{n}")
-    return spark.sql(f"""
-        WITH RECURSIVE up(stream_id, owner_id, max_offset, depth) AS (
-          SELECT stream_id, stream_id, CAST(NULL AS BIGINT), 0 FROM reach_streams_{n}
-          UNION ALL
-          SELECT up.stream_id, e.parent_id, least(up.max_offset, e.fork_offset), up.depth + 1
-          FROM up JOIN reach_edges_{n} e ON e.stream_id = up.owner_id)
-        SELECT * FROM up""")
+    spark, parents = streams.sparkSession, _parents(inherits)
+    if parents is not None:
+        rows = []
+        for (start,) in streams.select("stream_id").distinct().toLocalIterator():
+            rows += [(start, start, None, 0), *((start, owner, bound, depth) for owner, (bound, depth) in _walk(start, parents).items())]
+            if len(rows) > SMALL_PAIRS:
+                break
+        else:
+            return spark.createDataFrame(rows, _REACH)
+    own = streams.select("stream_id", F.col("stream_id").alias("owner_id"), F.lit(None).cast("bigint").alias("max_offset"), F.lit(0).cast("long").alias("depth")).distinct()
+    return own.unionByName(_doubled(inherits).join(streams.select("stream_id").distinct(), "stream_id", "left_semi"))
 
 
 def closure(streams: DataFrame) -> DataFrame:
     """``stream_id, ancestor_id, depth`` over all parents, those of merges too; the least depth of each pair."""
-    spark = streams.sparkSession
-    n = next(_COUNT)
-    streams.select("stream_id", F.explode("parents").alias("p")).select("stream_id", F.col("p.stream_id").alias("parent_id")).createOrReplaceTempView(f"closure_edges_{n}")
-    found = spark.sql(f"""
-        WITH RECURSIVE up(stream_id, ancestor_id, depth) AS (
-          SELECT stream_id, parent_id, 1 FROM closure_edges_{n}
-          UNION ALL
-          SELECT up.stream_id, e.parent_id, up.depth + 1 FROM up JOIN closure_edges_{n} e ON e.stream_id = up.ancestor_id)
-        SELECT * FROM up""")
-    return found.groupBy("stream_id", "ancestor_id").agg(F.min("depth").cast("long").alias("depth"))
+    links = streams.select("stream_id", F.explode("parents").alias("p")).select("stream_id", F.col("p.stream_id").alias("parent_id"), F.lit(None).cast("bigint").alias("fork_offset"))
+    parents, pairs = _parents(links), []
+    if parents is not None:
+        for start in parents:
+            pairs += [(start, owner, depth) for owner, (_, depth) in _walk(start, parents).items()]
+            if len(pairs) > SMALL_PAIRS:
+                break
+        else:
+            return streams.sparkSession.createDataFrame(pairs, "stream_id string, ancestor_id string, depth bigint")
+    return _doubled(links).select("stream_id", F.col("owner_id").alias("ancestor_id"), "depth")
 
 
 def replay_all(records: DataFrame, streams: DataFrame, only: Column | None = None) -> DataFrame:
     """Rows of every stream's whole history: ``stream_id`` (the one replayed), ``owner_id, offset, payload, inherited``."""
-    wanted = streams if only is None else streams.where(only)
-    seen = reach(wanted, edges(streams))
+    seen = reach(streams if only is None else streams.where(only), edges(streams))
     own = records.select(F.col("stream_id").alias("owner_id"), "offset", "payload")
+    owners = [r[0] for r in seen.select("owner_id").distinct().limit(NAMED + 1).collect()]
+    if len(owners) <= NAMED:
+        own = own.where(F.col("owner_id").isin(owners))
+    if seen.limit(SMALL_PAIRS + 1).count() <= SMALL_PAIRS:
+        seen = F.broadcast(seen)
     rows = own.join(seen, "owner_id").where(F.col("max_offset").isNull() | (F.col("offset") <= F.col("max_offset")))
     return rows.select("stream_id", "owner_id", "offset", "payload", (F.col("depth") > 0).alias("inherited"))
 
 
-def missing_anchors(records: DataFrame, streams: DataFrame) -> DataFrame:
+def missing_anchors(records: DataFrame, streams: DataFrame, only: Column | None = None) -> DataFrame:
     """Streams that can't be read, since the record at a fork was trimmed: a bound alone would return fewer rows without a word."""
-    seen = reach(streams, edges(streams)).where("max_offset is not null")
+    seen = reach(streams if only is None else streams.where(only), edges(streams)).where("max_offset is not null")
     there = records.select(F.col("stream_id").alias("owner_id"), F.col("offset").alias("max_offset"))
     # The bound lies in the one owner whose own records reach it; in others it is below their first.
     own = seen.join(first_offsets(streams), "owner_id").where("max_offset >= first_offset")
@@ -75,8 +138,12 @@ def first_offsets(streams: DataFrame) -> DataFrame:
     return streams.select(F.col("stream_id").alias("owner_id")).join(e, "owner_id", "left").select("owner_id", F.coalesce(F.col("fork_offset") + 1, F.lit(0)).cast("bigint").alias("first_offset"))
 
 
-def replay(records: DataFrame, streams: DataFrame, stream_id: str) -> DataFrame:
-    return replay_all(records, streams, F.col("stream_id") == stream_id)
+def replay(records: DataFrame, streams: DataFrame, stream_id: str, check: bool = False) -> DataFrame:
+    """One stream's history; ``check``: raise ``Trimmed`` if the record at a fork on the way is gone."""
+    one = F.col("stream_id") == stream_id
+    if check and (gone := missing_anchors(records, streams, one).first()):
+        raise Trimmed(f"{gone['owner_id']}@{gone['offset']}, from which {stream_id} inherits, was trimmed")
+    return replay_all(records, streams, one)
 
 
 def tail_from(history: DataFrame, from_offset: int) -> DataFrame:
@@ -93,6 +160,16 @@ def page(history: DataFrame, from_offset: int, size: int) -> DataFrame:
     return ranked.withColumn("next_offset", F.max("offset").over(whole) + 1).drop("rank")
 
 
+def page_status(history: DataFrame, from_offset: int, size: int) -> DataFrame:
+    """One row for a page, empty ones too: ``from_offset, n, has_more, next_offset`` (of an empty page: where it began)."""
+    if size <= 0:
+        raise ValueError("a page has at least one row")
+    some = tail_from(history, from_offset).select("offset").orderBy("offset").limit(size + 1)
+    found = some.agg(F.sort_array(F.collect_list("offset")).alias("o"))  # size + 1 numbers at most
+    n = F.least(F.size("o"), F.lit(size))
+    return found.select(F.lit(from_offset).cast("long").alias("from_offset"), n.cast("long").alias("n"), (F.size("o") > size).alias("has_more"), F.coalesce(F.get("o", n - 1) + 1, F.lit(from_offset).cast("long")).alias("next_offset"))
+
+
 def branch_view(records: DataFrame, streams: DataFrame, stream_id: str) -> DataFrame:
     """A branch's history, each row ``prefix`` (shared with its parent) or ``suffix``."""
     kind = streams.where(F.col("stream_id") == stream_id).select("kind").first()

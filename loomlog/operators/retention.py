@@ -11,7 +11,7 @@ DAY = 86_400_000
 def mark(segments: DataFrame, now: Column | int | None = None, max_age_days: int | None = None, max_bytes: int | None = None, active_bytes: Column | int = 0) -> DataFrame:
     """``segments`` with ``trimmed``. Only a run of the oldest of each stream goes: the first one that may stay keeps all after it.
 
-    A segment goes if it was rolled at or before the cutoff, or if with it more than ``max_bytes`` (stored bytes, the active head
+    Where ``rolled_at`` is null, the file's time (``modified_at``), if there is such a column, stands for it. A segment goes if it was rolled at or before the cutoff, or if with it more than ``max_bytes`` (stored bytes, the active head
     included) would be kept.
     """
     if max_age_days is None and max_bytes is None or max_age_days is not None and max_age_days <= 0 or max_bytes is not None and max_bytes <= 0:
@@ -20,7 +20,8 @@ def mark(segments: DataFrame, now: Column | int | None = None, max_age_days: int
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     goes = F.lit(False)
     if max_age_days is not None:
-        goes = goes | (F.col("rolled_at") <= as_column(now) - max_age_days * DAY)
+        rolled = F.coalesce("rolled_at", "modified_at") if "modified_at" in segments.columns else F.col("rolled_at")
+        goes = goes | (rolled <= as_column(now) - max_age_days * DAY)
     if max_bytes is not None:
         before = F.coalesce(F.sum("stored_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         total = F.sum("stored_bytes").over(Window.partitionBy("stream_id"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.functions.scalars import parse_merge_policy
+
 _COMMON = "type string, actor_id string, created_at bigint, reason string, labels map<string,string>"
 SCHEMAS = {
     "agent.tool_call": f"{_COMMON}, task_id string, trace_kind string, tool_call_id string, tool_name string, phase string, payload_ref string",
@@ -70,6 +72,38 @@ def branch_labels(kind: str, anchor: str | None = None, **labels: str) -> dict[s
     return {"branch_kind": kind, **({"anchor_ref": anchor} if anchor else {}), **{k: str(v) for k, v in labels.items() if v is not None}}
 
 
+def _stated(**fields: str) -> dict[str, str]:
+    for name, value in fields.items():
+        if not isinstance(value, str) or not value.strip():
+            raise ValueError(f"{name} must not be blank")
+    return fields
+
+
+def trace_merge(task_id: str, actor_id: str, reason: str, parents: list[tuple[str, int]], policy: str, merge_reason: str) -> dict:
+    """What ``Log.create_merge`` takes to merge branches of a task: ``parents, policy, metadata``. The labels repeat policy, reason and parents."""
+    stated = _stated(task_id=task_id, actor_id=actor_id, reason=reason, merge_reason=merge_reason)
+    policy = parse_merge_policy(policy)
+    label = "fast-forward" if policy == "fast_forward" else policy.removeprefix("custom:")
+    labels = stated | {"trace_kind": "merge", "merge_policy": label, "merge_parents": ",".join(f"{s}@{o}" for s, o in parents)}
+    return {"parents": parents, "policy": policy, "metadata": {"actor": actor_id, "reason": reason, "labels": labels}}
+
+
+def classifier_evidence(decision_id: str, classifier_id: str, classifier_version: str, anchor_message_id: str, anchor_offset: int, decision: str, decided_at: int, score: float | None = None, threshold: float | None = None, evidence_ref: str | None = None) -> dict[str, str]:
+    """Labels of a thread that a classifier has opened, or of its evidence artifact. Score and threshold are recorded, not compared, and only together."""
+    if (score is None) != (threshold is None):
+        raise ValueError("a score goes with its threshold")
+    if anchor_offset < 0:
+        raise ValueError("an offset is not negative")
+    labels = _stated(decision_id=decision_id, classifier_id=classifier_id, classifier_version=classifier_version, anchor_message_id=anchor_message_id, decision=decision)
+    more = {"fork_offset": anchor_offset, "decided_at": decided_at, "score": score, "threshold": threshold, "evidence_ref": evidence_ref}
+    return labels | {k: str(v) for k, v in more.items() if v is not None}
+
+
+def classifier_artifact(artifact_id: str, digest: str, byte_length: int, evidence: dict[str, str], **more) -> bytes:
+    """The evidence of a classifier's decision as an artifact."""
+    return artifact(artifact_id, "classifier-evidence", digest, byte_length, labels=evidence, **more)
+
+
 def typed(history: DataFrame, kind: str) -> DataFrame:
     """The records of one type, with its fields as columns; payloads that don't parse are left out."""
     text = F.col("payload").cast("string")

@@ -32,6 +32,16 @@ class Surface:
             raise ValueError(f"table {name} exists")
         self.tables[name] = table if callable(table) and not isinstance(table, DataFrame) else (lambda: table)
 
+    def register_pairs(self, name: str, pairs: list[str]) -> None:
+        """A table ``key, value`` (binary) from texts ``key=value``, as a command line gives them; all that follows the first ``=`` is the value."""
+        rows = []
+        for pair in pairs:
+            key, mark, value = pair.partition("=")
+            if not mark:
+                raise ValueError(f"not key=value: {pair!r}")
+            rows.append((bytearray(key.encode()), bytearray(value.encode())))
+        self.register(name, lambda: self.spark.createDataFrame(rows, "key binary, value binary"))
+
     def deregister(self, name: str) -> bool:
         if view := self._views.pop(name, None):
             self.spark.catalog.dropTempView(view)

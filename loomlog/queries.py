@@ -64,6 +64,14 @@ def replay_page(spark, sf_dir):
     return replay.page(_history(spark, sf_dir, "retry"), 490, 150)
 
 
+@query("""WITH p AS (SELECT * FROM (VALUES (0, 3), (990, 20), (100000000, 5)) t(from_offset, size)), e AS (SELECT from_offset, size, event_id, row_number() OVER (PARTITION BY from_offset ORDER BY event_id) AS r FROM p LEFT JOIN events ON event_id >= from_offset)
+SELECT CAST(from_offset AS BIGINT) AS from_offset, count(event_id) FILTER (r <= size) AS n, count(event_id) > size AS has_more, coalesce(max(event_id) FILTER (r <= size) + 1, from_offset) AS next_offset FROM e GROUP BY from_offset, size""")
+def page_status(spark, sf_dir):
+    """Pages of the root stream, the last one empty."""
+    history = _history(spark, sf_dir, "events")
+    return replay.page_status(history, 0, 3).unionByName(replay.page_status(history, 990, 20)).unionByName(replay.page_status(history, 100_000_000, 5))
+
+
 @query(f"{_LINEAGE} SELECT {_COLUMNS}, CASE WHEN inherited THEN 'prefix' ELSE 'suffix' END AS part FROM history WHERE stream_id = 'critique'")
 def branch_view(spark, sf_dir):
     return replay.branch_view(testdata.records(spark, sf_dir), testdata.streams(spark), "critique")
@@ -180,6 +188,17 @@ def scalar_functions(spark, sf_dir):
     return e.select("event_id", at.alias("position"), scalars.position_stream(at).alias("stream_id"), scalars.position_offset(at).alias("offset"), scalars.numbered("segment", F.col("event_id")).alias("segment_id"), scalars.lower_hex(F.col("event_type")).alias("hexed"), scalars.sha256(F.col("event_type")).alias("digest"), millis.alias("at"), scalars.quorum_size(F.col("user_id")).alias("majority"))
 
 
+@query("""SELECT event_id, trim(event_type) <> '' AND user_id % 7 <> 0 AS named, CASE user_id % 3 WHEN 0 THEN 'recursive' WHEN 1 THEN 'fast-forward' ELSE event_type END AS policy, event_type || '@' || CAST(event_id AS VARCHAR) || ',x@' || CAST(user_id AS VARCHAR) AS positions,
+  CASE WHEN user_id % 2 = 0 THEN event_id + 1 WHEN user_id % 3 = 0 THEN user_id + 1 ELSE 0 END AS first FROM events""")
+def naming_functions(spark, sf_dir):
+    e, third = testdata.events(spark, sf_dir), F.col("user_id") % 3
+    policy = F.when(third == 0, F.lit("recursive")).when(third == 1, F.lit("fast_forward")).otherwise(F.concat(F.lit("custom:"), F.col("event_type")))
+    at = F.array(F.struct(F.col("event_type").alias("stream_id"), F.col("event_id").alias("offset")), F.struct(F.lit("x").alias("stream_id"), F.col("user_id").alias("offset")))
+    named = scalars.not_blank(F.when(F.col("user_id") % 7 == 0, F.lit("  ")).otherwise(F.col("event_type")))
+    first = scalars.initial_offset(F.when(F.col("user_id") % 2 == 0, F.col("event_id")), F.when(third == 0, F.col("user_id")))
+    return e.select("event_id", named.alias("named"), scalars.merge_policy_label(policy).alias("policy"), scalars.position_list(at).alias("positions"), first.alias("first"))
+
+
 @query()
 def fnv_checksums(spark, sf_dir):
     return testdata.events(spark, sf_dir).select("event_id", scalars.fnv1a64(F.col("event_type").cast("binary")).alias("checksum"))
@@ -408,10 +427,10 @@ def tool_call_pairs(spark, sf_dir):
     return workloads.tool_call_pairs(calls)
 
 
-@query("SELECT event_type AS stream_id, event_id AS \"offset\", 'r' AS root, event_id % 400 = 0 AS selected FROM events WHERE event_id % 200 = 0")
+@query("SELECT event_type AS stream_id, event_id AS \"offset\", 'r' AS root, event_type = 'purchase' OR user_id > 50 AS selected FROM events")
 def finality(spark, sf_dir):
-    e = testdata.events(spark, sf_dir).select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("offset"), F.lit("r").alias("root"))
-    return workloads.finality(e.where("offset % 200 = 0"), e.where("offset % 400 = 0"))
+    e = testdata.events(spark, sf_dir).select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("offset"), F.lit("r").alias("root"), "user_id")
+    return workloads.finality(e.drop("user_id"), e.where("stream_id = 'purchase' OR user_id > 50"))
 
 
 # delegated SQL: Catalyst's own operators over the same tables -------------------------------------------------------------
@@ -463,3 +482,6 @@ def approx_aggregates(spark, sf_dir):
 def collection_functions(spark, sf_dir):
     e = testdata.events(spark, sf_dir).groupBy("event_type").agg(F.collect_set("user_id").alias("u"), F.max("event_id").alias("last_id"))
     return e.select("event_type", F.size("u").cast("long").alias("users"), F.element_at(F.map_from_arrays(F.array("event_type"), F.array("last_id")), F.col("event_type")).alias("last_id"))
+
+
+from loomlog import logqueries  # noqa: E402, F401  its queries are registered as it loads

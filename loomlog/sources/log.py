@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions import scalars
+from loomlog.functions import jsoncols, scalars
 from loomlog.operators import integrity, retention
 from loomlog.plans import staging
 from loomlog.sources import schema
@@ -84,9 +84,7 @@ class Log:
     def _store(self, state: dict, old: int | None) -> dict:
         state["version"] = 0 if old is None else old + 1
         state["root"] = self.root_of(state)
-        state["roots"] = (state.get("roots") or [])[-1000:]
-        if not state["roots"] or state["roots"][-1] != state["root"]:
-            state["roots"].append(state["root"])
+        self._remember(f"{self._folder(state['stream_id'])}/roots", [state["root"]])
         try:
             self.files.create(f"{self._folder(state['stream_id'])}/state/{state['version']:020d}", state)
         except Exception as e:
@@ -102,6 +100,15 @@ class Log:
         said["segments"] = [{k: s[k] for k in ("segment_id", "start_offset", "last_offset", "record_count", "digest")} for s in state["segments"]]
         return hashlib.sha256(json.dumps(said, sort_keys=True).encode()).hexdigest()
 
+    def _remember(self, folder: str, roots: list[str]) -> None:
+        """An empty document for each root that a stream has had, so that any of them is found at once, however many there are."""
+        for root in roots:
+            if not self.files.exists(f"{folder}/{root}"):
+                self.files.replace(f"{folder}/{root}", None)
+
+    def had_root(self, stream_id: str, root: str) -> bool:
+        return self.files.exists(f"{self._folder(stream_id)}/roots/{root}")
+
     def exists(self, stream_id: str) -> bool:
         return bool(self.files.names(f"{self._folder(stream_id)}/state"))
 
@@ -210,8 +217,30 @@ class Log:
             raise InvalidRequest("a batch has at least one record")
         state["next_offset"] = segment["last_offset"] + 1
         state = self._commit(state, state["version"])
+        if state["retention"]:
+            self.enforce_retention(stream_id)
         return Appended(base, segment["last_offset"], segment["record_count"], state["generation"], (*rolled, segment["segment_id"]))
 
+    def append_acknowledged(self, stream_id: str, payloads: list[bytes], remotes: list[str], needed: int | None = None) -> tuple[Appended, int]:
+        """Append, then publish to the remotes until ``needed`` copies (by default a majority, this one among them) hold it; how many do."""
+        needed = (len(remotes) + 1) // 2 + 1 if needed is None else needed
+        done, copies = self.append_batch(stream_id, payloads), 1
+        for remote in remotes:
+            if copies >= needed:
+                break
+            if self.publish(stream_id, remote)["next_offset"] > done.last:
+                copies += 1
+        if copies < needed:
+            raise InvalidRequest(f"{copies} of {needed} copies hold {stream_id}@{done.last}")
+        return done, copies
+
+    def produce_text(self, stream_id: str, path: str) -> Appended:
+        """Append the lines of text files, in the order of files and lines, creating the stream as a root if need be."""
+        if not self.exists(stream_id):
+            self.create_root(stream_id)
+        lines = self.spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("payload"))
+        return self.append_frame(stream_id, lines, ["file", "block", "line"])
+
     def produce(self, stream_id: str, payloads: list[bytes]) -> Appended:
         """Append, creating the stream as a root if need be."""
         if not self.exists(stream_id):
@@ -243,7 +272,9 @@ class Log:
         if not state["head"]:
             return None
         name = self._seal(state)
-        self._commit(state, state["version"])
+        state = self._commit(state, state["version"])
+        if state["retention"]:
+            self.enforce_retention(stream_id)
         return name
 
     def set_retention(self, stream_id: str, max_age_days: int | None = None, max_bytes: int | None = None) -> None:
@@ -310,6 +341,11 @@ class Log:
         parts = [self.spark.read.schema("offset bigint, payload binary").parquet(*paths).select(F.lit(i).alias("stream_id"), "offset", "payload") for i in self.stream_ids() if (paths := [b["path"] for s in [self.state(i)] for b in [*s["segments"], *s["head"]]])]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema.RECORDS)
 
+    def register(self, surface, stream_ids: list[str] | None = None) -> None:
+        """Every stream, or those given, as a table of its JSON fields; read when a query names it."""
+        for i in self.stream_ids() if stream_ids is None else stream_ids:
+            surface.register(i, lambda i=i: jsoncols.json_table(self.replay(i)))
+
     def consume(self, stream_id: str, from_offset: int = 0, limit: int | None = None) -> DataFrame:
         rows = self.replay(stream_id, from_offset).orderBy("offset")
         return rows if limit is None else rows.limit(limit)
@@ -321,8 +357,10 @@ class Log:
         state = self.state(stream_id)
         bad = [] if state["root"] == self.root_of(state) else ["root"]
         if state["segments"]:
-            parts = [self.spark.read.schema("offset bigint, payload binary").parquet(s["path"]).select(F.lit(stream_id).alias("stream_id"), F.lit(s["segment_id"]).alias("segment_id"), "offset", "payload") for s in state["segments"]]
-            bad += [r["segment_id"] for r in integrity.verify(reduce(DataFrame.unionByName, parts), self.segments([stream_id])).collect()]
+            rows = self.spark.read.schema("offset bigint, payload binary").parquet(*(s["path"] for s in state["segments"]))
+            segment = F.regexp_extract("_metadata.file_path", r"/(segment-[0-9]{20})-[0-9a-f]+/[^/]*$", 1)
+            rows = rows.select(F.lit(stream_id).alias("stream_id"), segment.alias("segment_id"), "offset", "payload")
+            bad += [r["segment_id"] for r in integrity.verify(rows, self.segments([stream_id])).collect()]
         return bad
 
     def checkpoint(self, stream_id: str, kind: str = "manual") -> dict:
@@ -334,7 +372,7 @@ class Log:
     def verify_checkpoint(self, checkpoint: dict, exact: bool = True) -> bool:
         """Exact: the root is the current one. Otherwise it may be any that the stream once had."""
         state = self.state(checkpoint["stream_id"])
-        known = checkpoint["manifest_root"] == state["root"] if exact else checkpoint["manifest_root"] in state["roots"]
+        known = checkpoint["manifest_root"] == state["root"] if exact else self.had_root(checkpoint["stream_id"], checkpoint["manifest_root"])
         return known and checkpoint["head_offset"] < state["next_offset"] and not self.verify(checkpoint["stream_id"])
 
     def publish(self, stream_id: str, remote: str) -> dict:
@@ -342,6 +380,7 @@ class Log:
         self.roll(stream_id)
         state = self.state(stream_id)
         top = f"{remote.rstrip('/')}/streams/{_hex(stream_id)}"
+        self._remember(f"{top}/roots", self.files.names(f"{self._folder(stream_id)}/roots"))
         manifest = {k: v for k, v in state.items() if k not in ("head", "version")} | {"segments": []}
         for s in state["segments"]:
             path = f"{top}/segments/{s['segment_id']}-{s['digest'][:16]}"
@@ -394,6 +433,7 @@ class Log:
             if integrity.segment_digest(written, ["s"]).first()["digest"] != s["digest"]:
                 raise InvalidRequest(f"{s['segment_id']} is damaged")
             segments.append(s | {"path": path, "stored_bytes": self.files.size(path)})
+        self._remember(f"{self._folder(stream_id)}/roots", self.files.names(f"{remote.rstrip('/')}/streams/{_hex(stream_id)}/roots"))
         new = manifest | {"segments": segments, "head": [], "next_offset": frontier["next_offset"]}
         return self._store(new, state["version"] if state else None)
 

@@ -55,6 +55,32 @@ def fold_in_order(rows: DataFrame, reducer: Reducer, state: Any) -> Any:
     return json.loads(done[-1]["state"]) if done else state
 
 
+#: Fields of a checkpoint, beside those of its anchor, that may name something stored elsewhere.
+_REFS = ("lineage_checkpoint_ref", "opaque_state_ref", "snapshot_ref")
+
+
+def check_contract(checkpoint: dict) -> dict:
+    """A checkpoint whose fields agree: identifiers are stated, the source is the anchor's, the reference names it."""
+    try:
+        scalars.check_cursor_id(checkpoint["materialization_id"])
+        anchor = checkpoint["lineage_anchor"]
+        for name in ("view_kind", "source_durability", "materializer_version"):
+            if not (checkpoint[name] or "").strip():
+                raise InvalidRequest(f"{name} must not be blank")
+        for name in _REFS:
+            if checkpoint[name] is not None and not checkpoint[name].strip():
+                raise InvalidRequest(f"{name} must not be blank")
+        if (checkpoint["stream_id"], checkpoint["anchor_offset"], checkpoint["manifest_root"]) != (anchor["stream_id"], anchor["head_offset"], anchor["manifest_root"]):
+            raise InvalidRequest("the checkpoint's source is not its anchor")
+        if checkpoint["lineage_ref"] != f"{checkpoint['stream_id']}@{checkpoint['anchor_offset']}":
+            raise InvalidRequest("the checkpoint is of something else")
+        if not {"generation", "state", "produced_at"} <= checkpoint.keys():
+            raise InvalidRequest("the checkpoint is not whole")
+    except (KeyError, TypeError, AttributeError) as e:
+        raise InvalidRequest(f"the checkpoint lacks {e}") from e
+    return checkpoint
+
+
 class _Base:
     def __init__(self, log: Log, materialization_id: str, stream_id: str) -> None:
         self.log, self.id, self.stream_id = log, scalars.check_cursor_id(materialization_id), stream_id
@@ -85,13 +111,18 @@ class _Base:
     def _path(self) -> str:
         return f"{self.log.root}/materializations/{self.id.encode().hex()}/{self.stream_id.encode().hex()}"
 
-    def checkpoint(self) -> dict:
-        """Anchored at the last offset applied."""
+    def checkpoint(self, view_kind: str = "materialization", materializer_version: str = "unspecified", durability: str = "local", **refs: str | None) -> dict:
+        """Anchored at the last offset applied. ``refs``: a lineage checkpoint, state or snapshot stored elsewhere."""
         if self.applied < 0:
             raise InvalidRequest("nothing is applied yet")
+        if odd := refs.keys() - set(_REFS):
+            raise InvalidRequest(f"not a reference: {sorted(odd)}")
         state = self.log.state(self.stream_id)
-        found = {"materialization_id": self.id, "stream_id": self.stream_id, "anchor_offset": self.applied, "lineage_ref": f"{self.stream_id}@{self.applied}", "manifest_root": state["root"], "generation": state["generation"], "state": self._state_document(), "produced_at": int(time.time())}
-        self.log.files.replace(self._path(), found)
+        anchor = {"stream_id": self.stream_id, "head_offset": self.applied, "manifest_root": state["root"], "kind": "materialization"}
+        found = {"materialization_id": self.id, "view_kind": view_kind, "stream_id": self.stream_id, "anchor_offset": self.applied, "generation": state["generation"], "manifest_root": state["root"], "source_durability": durability}
+        found |= {"lineage_ref": f"{self.stream_id}@{self.applied}", "lineage_anchor": anchor, "state": self._state_document(), "produced_at": int(time.time()), "materializer_version": materializer_version}
+        found |= dict.fromkeys(_REFS) | refs
+        self.log.files.replace(self._path(), check_contract(found))
         return found
 
     def step(self) -> dict:
@@ -106,7 +137,7 @@ class _Base:
             checkpoint = checkpoint or stored
             if checkpoint is None:
                 raise NotFound(f"no checkpoint of {self.id}")
-            if (checkpoint["materialization_id"], checkpoint["stream_id"]) != (self.id, self.stream_id) or checkpoint["lineage_ref"] != f"{self.stream_id}@{checkpoint['anchor_offset']}":
+            if (check_contract(checkpoint)["materialization_id"], checkpoint["stream_id"]) != (self.id, self.stream_id):
                 raise InvalidRequest("the checkpoint is of something else")
             if given is not None and stored is None:
                 raise NotFound("the checkpoint is not stored")
@@ -115,8 +146,10 @@ class _Base:
         state = self.log.state(self.stream_id)
         if checkpoint["generation"] > state["generation"] or checkpoint["anchor_offset"] >= state["next_offset"]:
             raise InvalidRequest("the checkpoint is ahead of the log")
-        if checkpoint["manifest_root"] not in state["roots"]:
+        if not self.log.had_root(self.stream_id, checkpoint["manifest_root"]):
             raise InvalidRequest("the checkpoint is not of this history")
+        if damaged := self.log.verify(self.stream_id):
+            raise InvalidRequest(f"the log is damaged: {damaged}")
         at = checkpoint["anchor_offset"]
         if not self.log.replay(self.stream_id, at).where(F.col("offset") == at).limit(1).count():
             raise InvalidRequest("the anchor was trimmed")
@@ -228,6 +261,19 @@ class Tail:
         self.open = False
 
 
+def live(log: Log, stream_id: str, from_offset: int | None = None, batch: int = 100, poll_seconds: float = 0.25, idle: Callable[[], bool] = lambda: True) -> Iterator[Any]:
+    """Records as they come, from an offset or from the head as it is now; while there are none, ``idle`` says whether to go on waiting."""
+    tail = Tail(log, stream_id, log.state(stream_id)["next_offset"] if from_offset is None else from_offset, batch)
+    while True:
+        rows = tail.poll()[1]
+        yield from rows
+        if not rows:
+            if not idle():
+                tail.cancel()
+                return
+            time.sleep(poll_seconds)
+
+
 def follow(spark: SparkSession, path: str, changes: Callable[[DataFrame], DataFrame], view_path: str, checkpoint: str, schema: str = "stream_id string, offset bigint, payload binary", files_per_trigger: int = 64):
     """Structured Streaming over a folder of record files: every micro-batch is folded into a versioned key/value view.
 

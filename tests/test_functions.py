@@ -121,3 +121,36 @@ def test_workloads(spark):
     for bad in (lambda: workloads.tool_call("t", "c", "n", "other"), lambda: workloads.tool_call(" ", "c", "n", "request"), lambda: workloads.artifact("a", "merge-outcome", "d", 1, parents=["x"]), lambda: workloads.artifact("a", "odd", "d", 1), lambda: workloads.channel_message("c", "m", "a", odd=1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_merges_and_evidence(spark):
+    spec = workloads.trace_merge("t", "agent", "better", [("a", 1), ("b", 2)], "fast_forward", "both agree")
+    assert spec["metadata"]["labels"]["merge_parents"] == "a@1,b@2" and spec["metadata"]["labels"]["merge_policy"] == "fast-forward"
+    labels = workloads.classifier_evidence("d", "c", "v1", "m", 3, "thread", 9, 0.4, 0.5)
+    assert labels["fork_offset"] == "3" and labels["score"] == "0.4" and "evidence_ref" not in labels
+    row = spark.createDataFrame([("s", 0, bytearray(workloads.classifier_artifact("a", "d", 1, labels)))], "stream_id string, offset bigint, payload binary")
+    assert workloads.typed(row, "artifact").first()["labels"] == labels
+    for bad in (lambda: workloads.trace_merge(" ", "a", "r", [], "recursive", "x"), lambda: workloads.trace_merge("t", "a", "r", [], "odd", "x"), lambda: workloads.classifier_evidence("d", "c", "v", "m", 1, "x", 1, score=1.0), lambda: workloads.classifier_evidence("d", "", "v", "m", 1, "x", 1), lambda: workloads.classifier_evidence("d", "c", "v", "m", -1, "x", 1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_pairs_as_a_table(spark):
+    found = Surface(spark)
+    found.register_pairs("seed", ["a=1", "b=x=y", "c="])
+    assert [(bytes(r["key"]), bytes(r["value"])) for r in found.query_key_values("SELECT key, value FROM seed ORDER BY key").collect()] == [(b"a", b"1"), (b"b", b"x=y"), (b"c", b"")]
+    with pytest.raises(ValueError):
+        found.register_pairs("bad", ["nothing"])
+
+
+def test_config(tmp_path):
+    from loomlog.config import LogConfig
+
+    path = tmp_path / "c.json"
+    path.write_text('{"root": "here", "segment_records": 10}')
+    assert LogConfig.load(str(path), {"LOOMLOG_SEGMENT_RECORDS": "20", "LOOMLOG_READ_ONLY": "true"}) == LogConfig(root="here", segment_records=20, read_only=True)
+    assert LogConfig.load(environ={}) == LogConfig()
+    path.write_text('{"odd": 1}')
+    for load in (lambda: LogConfig.load(str(path), {}), lambda: LogConfig.load(environ={"LOOMLOG_SEGMENT_RECORDS": "0"}), lambda: LogConfig.load(environ={"LOOMLOG_READ_ONLY": "maybe"})):
+        with pytest.raises(ValueError):
+            load()

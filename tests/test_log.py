@@ -300,3 +300,73 @@ def test_digests_notice_order(spark):
     rows = lambda a, b: spark.createDataFrame([("s", 0, a), ("s", 1, b)], "s string, offset bigint, payload string")
     digest = lambda df: integrity.segment_digest(df, ["s"]).first()["digest"]
     assert digest(rows("a", "b")) != digest(rows("b", "a")) and digest(rows("a", "b")) == digest(rows("a", "b").repartition(2))
+
+
+def test_retention_runs_when_a_segment_is_sealed(log, spark):
+    log.create_root("r")
+    log.set_retention("r", max_bytes=1)
+    log.append_frame("r", spark.range(3).select("id", F.lit("x").alias("payload")), ["id"])
+    assert log.segments(["r"]).count() == 0 and log.status("r")[0]["retained_start_offset"] == 3
+    log.append("r", b"y")
+    log.roll("r")
+    assert log.segments(["r"]).count() == 0 and log.status("r")[0]["next_offset"] == 4
+    rows = spark.createDataFrame([("a", 0, 1, None, 5), ("a", 1, 1, 200 * retention.DAY, 0)], "stream_id string, start_offset long, stored_bytes long, rolled_at long, modified_at long")
+    assert [r["trimmed"] for r in retention.mark(rows, 100 * retention.DAY, 1).orderBy("start_offset").collect()] == [True, False]
+
+
+def test_every_root_is_remembered(log, spark, tmp_path):
+    log.create_root("t")
+    checks = []
+    for _ in range(3):
+        log.append_batch("t", [b"a", b"b"])
+        checks.append(log.checkpoint("t"))
+    assert all(log.verify_checkpoint(c, exact=False) for c in checks) and not log.verify_checkpoint(checks[0] | {"manifest_root": "0" * 64}, exact=False)
+    log.publish("t", f"file://{tmp_path}/remote")
+    other = Log(spark, f"file://{tmp_path}/other", read_only=True)
+    other.restore("t", f"file://{tmp_path}/remote")
+    assert all(other.verify_checkpoint(c, exact=False) for c in checks)
+
+
+def test_acknowledged_appends(log, tmp_path):
+    log.create_root("t")
+    remote = f"file://{tmp_path}/remote"
+    done, copies = log.append_acknowledged("t", [b"a"], [remote])
+    assert (done.last, copies) == (0, 2) and log.frontier("t", remote)["next_offset"] == 1
+    with pytest.raises(InvalidRequest):
+        log.append_acknowledged("t", [b"b"], [remote], needed=3)
+
+
+def test_documents_are_replaced_whole(log):
+    path = f"{log.root}/doc/one"
+    for value in ({"a": 1}, {"a": 2}):
+        log.files.replace(path, value)
+        assert log.files.read(path) == value and log.files.names(f"{log.root}/doc") == ["one"]
+
+
+def test_contracts(log):
+    log.create_root("s")
+    log.append("s", b"one")
+    a = m.Materializer(log, "count", "s", m.CountReducer())
+    a.catch_up()
+    check = a.checkpoint(view_kind="counts", materializer_version="1", snapshot_ref="snap@1")
+    assert len(check) == 15 and m.check_contract(check) is check
+    for bad in ({"view_kind": " "}, {"snapshot_ref": ""}, {"anchor_offset": 5}, {"manifest_root": "x"}, {"lineage_anchor": None}, {"materialization_id": "?"}, {"lineage_ref": "s@9"}):
+        with pytest.raises(ValueError):
+            m.check_contract(check | bad)
+    with pytest.raises(InvalidRequest):
+        a.checkpoint(other_ref="x")
+
+
+def test_live_records(log):
+    log.create_root("t")
+    log.append("t", b"old")
+    left = [b"new", b"newer"]
+
+    def idle():
+        if not left:
+            return False
+        log.append("t", left.pop(0))
+        return True
+
+    assert [bytes(r["payload"]) for r in m.live(log, "t", poll_seconds=0, idle=idle)] == [b"new", b"newer"]
+    assert [r["offset"] for r in m.live(log, "t", 1, idle=lambda: False)] == [1, 2]
