@@ -24,10 +24,14 @@ class Trimmed(ValueError):
     """A record at a fork is gone, and with it a part of the history."""
 
 
+def _link() -> Column:
+    """What a stream inherits: its parent if it is a branch, its base if it is a merge."""
+    return F.when(F.col("kind") == "branch", F.get("parents", F.lit(0))).when(F.col("kind") == "merge", F.col("merge_base"))
+
+
 def edges(streams: DataFrame) -> DataFrame:
     """What each stream inherits: the parent of a branch, the base of a merge; nothing else."""
-    link = F.when(F.col("kind") == "branch", F.get("parents", F.lit(0))).when(F.col("kind") == "merge", F.col("merge_base"))
-    return streams.select("stream_id", link.alias("link")).where("link is not null").select("stream_id", F.col("link.stream_id").alias("parent_id"), F.col("link.offset").alias("fork_offset"))
+    return streams.select("stream_id", _link().alias("link")).where("link is not null").select("stream_id", F.col("link.stream_id").alias("parent_id"), F.col("link.offset").alias("fork_offset"))
 
 
 def _parents(links: DataFrame) -> dict[str, list[tuple[str, int | None]]] | None:
@@ -78,22 +82,32 @@ def _doubled(links: DataFrame) -> DataFrame:
                 return within
 
 
-def reach(streams: DataFrame, inherits: DataFrame) -> DataFrame:
+def _reach_rows(streams: DataFrame, only: Column | None) -> list[tuple] | None:
+    """The rows of ``reach`` for the streams wanted, if the metadata is little; it is read once."""
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    known = streams.select("stream_id", _link().alias("link"), wanted.alias("wanted")).select("stream_id", "link.stream_id", "link.offset", "wanted").limit(SMALL + 1).collect()
+    if len(known) > SMALL:
+        return None
+    parents = {r[0]: [(r[1], r[2])] for r in known if r[1] is not None}
+    rows: list[tuple] = []
+    for start in {r[0]: None for r in known if r[3]}:
+        rows += [(start, start, None, 0), *((start, owner, bound, depth) for owner, (bound, depth) in _walk(start, parents).items())]
+        if len(rows) > SMALL_PAIRS:
+            return None
+    return rows
+
+
+def reach(streams: DataFrame, only: Column | None = None) -> DataFrame:
     """``stream_id, owner_id, max_offset, depth``: the owners whose records a stream sees, each up to an offset (null: all).
 
-    An ancestor is seen up to the smallest fork offset on the way to it.
+    An ancestor is seen up to the smallest fork offset on the way to it. ``only``: the streams wanted.
     """
-    spark, parents = streams.sparkSession, _parents(inherits)
-    if parents is not None:
-        rows = []
-        for (start,) in streams.select("stream_id").distinct().toLocalIterator():
-            rows += [(start, start, None, 0), *((start, owner, bound, depth) for owner, (bound, depth) in _walk(start, parents).items())]
-            if len(rows) > SMALL_PAIRS:
-                break
-        else:
-            return spark.createDataFrame(rows, _REACH)
-    own = streams.select("stream_id", F.col("stream_id").alias("owner_id"), F.lit(None).cast("bigint").alias("max_offset"), F.lit(0).cast("long").alias("depth")).distinct()
-    return own.unionByName(_doubled(inherits).join(streams.select("stream_id").distinct(), "stream_id", "left_semi"))
+    rows = _reach_rows(streams, only)
+    if rows is not None:
+        return streams.sparkSession.createDataFrame(rows, _REACH)
+    own = (streams if only is None else streams.where(only)).select("stream_id").distinct()
+    first = own.select("stream_id", F.col("stream_id").alias("owner_id"), F.lit(None).cast("bigint").alias("max_offset"), F.lit(0).cast("long").alias("depth"))
+    return first.unionByName(_doubled(edges(streams)).join(own, "stream_id", "left_semi"))
 
 
 def closure(streams: DataFrame) -> DataFrame:
@@ -112,20 +126,21 @@ def closure(streams: DataFrame) -> DataFrame:
 
 def replay_all(records: DataFrame, streams: DataFrame, only: Column | None = None) -> DataFrame:
     """Rows of every stream's whole history: ``stream_id`` (the one replayed), ``owner_id, offset, payload, inherited``."""
-    seen = reach(streams if only is None else streams.where(only), edges(streams))
     own = records.select(F.col("stream_id").alias("owner_id"), "offset", "payload")
-    owners = [r[0] for r in seen.select("owner_id").distinct().limit(NAMED + 1).collect()]
-    if len(owners) <= NAMED:
-        own = own.where(F.col("owner_id").isin(owners))
-    if seen.limit(SMALL_PAIRS + 1).count() <= SMALL_PAIRS:
-        seen = F.broadcast(seen)
+    known = _reach_rows(streams, only)
+    if known is None:
+        seen = reach(streams, only)
+    else:
+        owners = sorted({r[1] for r in known})
+        own = own.where(F.col("owner_id").isin(owners)) if len(owners) <= NAMED else own
+        seen = F.broadcast(streams.sparkSession.createDataFrame(known, _REACH))  # at most SMALL_PAIRS rows
     rows = own.join(seen, "owner_id").where(F.col("max_offset").isNull() | (F.col("offset") <= F.col("max_offset")))
     return rows.select("stream_id", "owner_id", "offset", "payload", (F.col("depth") > 0).alias("inherited"))
 
 
 def missing_anchors(records: DataFrame, streams: DataFrame, only: Column | None = None) -> DataFrame:
     """Streams that can't be read, since the record at a fork was trimmed: a bound alone would return fewer rows without a word."""
-    seen = reach(streams if only is None else streams.where(only), edges(streams)).where("max_offset is not null")
+    seen = reach(streams, only).where("max_offset is not null")
     there = records.select(F.col("stream_id").alias("owner_id"), F.col("offset").alias("max_offset"))
     # The bound lies in the one owner whose own records reach it; in others it is below their first.
     own = seen.join(first_offsets(streams), "owner_id").where("max_offset >= first_offset")
