@@ -752,6 +752,58 @@ def test_licences_in_sql_where_lines_are_wrapped(spark, tmp_path):
     assert sorted(map(str, map(tuple, ours))) == sorted(map(str, rows.fetchall())) and sum(r["n_sentences"] for r in ours) > 250
 
 
+def test_texts_of_megabytes(spark):
+    """A long text of words, one of one word, one of one line feed after another: every operator gives each its row, in bounded time."""
+    rng = random.Random(24)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=500_000)), "x" * 3_000_000, "\n" * 1_000_000, "<|" * 500_000, "a b " * 400_000, "short text"]
+    docs = make(spark, texts).repartition(3)
+    bench = spark.createDataFrame([(0, " ".join(texts[0].split()[100:120]))], "item_id long, text string")
+    leaks = {r["doc_id"]: r["n_hit"] for r in decontaminate.scan(docs, bench).collect()}
+    assert leaks == {0: 20, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    counts = {r["doc_id"]: (r["n_words"], r["n_repeat_words"] > 0) for r in quality.assess(docs).collect()}
+    assert counts[0][0] == 500_000 and counts[1] == (1, False) and counts[2] == (0, False) and counts[4] == (800_000, True)
+    for found in (secrets.scan(docs), licenses.scan(docs), simhash.near_duplicates(docs), nearcopies.near_copies(docs)):
+        assert sorted(r["doc_id"] for r in found.select("doc_id").collect()) == list(range(6))
+    packed = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(packed) == 6 and all(r["n"] == r["all"] for r in packed)
+    talk = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    out = chat.format_chat(talk, chat.text_parts(F.col("text"))).withColumn("turns", chat.read_back(F.col("formatted")))
+    assert sorted((r["conv_id"], r["n"]) for r in out.select("conv_id", F.length(chat.loss_text(F.col("turns"), F.col("loss_spans"))).alias("n")).collect()) == [(i, len(t)) for i, t in enumerate(texts)]
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") < 3, F.lit("a")).otherwise(F.lit("b")))
+    assert language.identify(docs, language.fit(labelled, "text", "lang"), keep=(F.col("doc_id"),)).count() == 6
+
+
+def test_pieces_and_shards_of_the_queries(spark):
+    """The queries' rows against each text encoded whole."""
+    data = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    check_packed(packing.op6_packing(spark, data).collect(), docs, 2048)
+    got = {r["doc_id"]: r for r in sstable.op7_sstable(spark, data).collect()}
+    start = 0
+    for i, t in docs:
+        ids = [*encode(t), 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), crc(ids))
+        start += len(ids)
+
+
+def test_classes_of_the_query(spark):
+    data = "/root/testdata/sf0.001"
+    prints = {r["doc_id"]: brute_print(r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = classes(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op8_simhash(spark, data).collect()} == {(i, f"{p:016x}", want[i]) for i, p in prints.items()}
+
+
+def test_languages_of_the_query(spark):
+    """Held-out documents, and what may not change a prediction."""
+    data = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = language.op5_language(spark, data).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got) and len(got) == len(docs)
+    held = [r for r in got if r["held_out"] and docs[r["doc_id"]]["lang"] and len(docs[r["doc_id"]]["text"] or "") > 50]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) > 0.97 * len(held) > 100
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
