@@ -1,6 +1,7 @@
 """The pipeline's stages against what each should keep."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,41 @@ def test_stages_on_nothing(spark, tmp_path):
     for name, stage in p.STAGES:
         assert stage(spark, odd, f"file://{tmp_path}").count() >= (0 if name == "quality rules" else 2)
     assert quality.assess(odd).count() == 3
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage done by hand on a whole table: the documents left, their texts, and the pieces made of them."""
+    from collections import defaultdict
+
+    from test_operators import brute_counts, brute_hits, brute_quality, check_packed, classes, lower
+
+    data = "/root/testdata/sf0.01"
+    docs = sorted((r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    norm = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[1-9]", "0", lower(x))))
+    seen = defaultdict(set)
+    for _, t, host in docs:
+        for line in (t or "").split("\n"):
+            if norm(line):
+                seen[host, norm(line)].add(t)
+    good = {i for i, _, kept in brute_quality(docs) if kept}
+    texts = {i: "\n".join(x for x in t.split("\n") if not norm(x) or len(seen[host, norm(x)]) <= 20) for i, t, host in docs if i in good}
+    assert all(brute_counts(t)[0] >= 50 for t in texts.values())
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = {i: grams(t) for i, t in texts.items()}
+
+    def near(a, b):
+        x, y = sets[a], sets[b]
+        return 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+    of = classes(sorted(texts), near)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    enc = secrets.encoding(secrets.ranks())
+    left = {i: secrets.redacted(t, enc) for i, t in texts.items() if of[i] == i and not brute_hits(items, t)[1]}
+    assert 0 < len(left) < len(set(of.values())) < len(texts)
+    rows = p.run(spark, data).collect()
+    assert {r["doc_id"] for r in rows} == set(left)
+    check_packed(rows, sorted(left.items()), 2048)
