@@ -219,12 +219,33 @@ def status(records: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def assign_offsets(rows: DataFrame, order: list[str], base: Column | int, by: list[str] | None = None) -> DataFrame:
-    """Offsets from ``base`` on, within each stream of ``by``, in the order given."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)
-    return rows.withColumn("offset", (F.row_number().over(w) - 1 + base).cast("bigint"))
+    """``rows`` with ``offset`` from ``base`` on, within each stream of ``by``, in the order given.
+
+    Rows are dealt by ranges of stream and order and written, then counts of the parts before are added, so that a stream of any length is
+    numbered by many tasks.
+    """
+    by = by or []
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    dealt = staging.stage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    key = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(by)]
+    sizes = dealt.groupBy(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)), F.col("_part").alias("_in")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(f"_of_{i}" for i in range(len(by)))).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_part", *by).orderBy("_at"))
+    joined = dealt.withColumn("_rank", rank).join(starts, [F.col("_part") == F.col("_in"), *key])
+    return joined.withColumn("offset", (F.col("_before") + F.col("_rank") - 1 + base).cast("bigint")).select(*rows.columns, "offset")
 
 
 def gaps(records: DataFrame) -> DataFrame:
-    """Records whose offset does not follow the one before in their stream."""
-    before = F.lag("offset").over(Window.partitionBy("stream_id").orderBy("offset"))
-    return records.select("stream_id", "offset", before.alias("before")).where(F.col("before").isNotNull() & (F.col("before") + 1 != F.col("offset")))
+    """Records whose offset does not follow the one before in their stream, doubled ones too: ``stream_id, offset, before``.
+
+    Offsets are joined with their neighbours; only where runs of offsets begin and end are sorted by stream.
+    """
+    at = records.select("stream_id", "offset").groupBy("stream_id", "offset").agg(F.count("*").alias("n"))
+    there = at.select("stream_id", "offset")
+    begins = there.join(there.withColumn("offset", F.col("offset") + 1), ["stream_id", "offset"], "left_anti").withColumn("end", F.lit(False))
+    ends = there.join(there.withColumn("offset", F.col("offset") - 1), ["stream_id", "offset"], "left_anti").withColumn("end", F.lit(True))
+    before = F.lag("offset").over(Window.partitionBy("stream_id").orderBy("offset", "end"))
+    missing = begins.unionByName(ends).withColumn("before", before).where("not end and before is not null").select("stream_id", "offset", "before")
+    doubled = at.where("n > 1").select("stream_id", "offset", F.col("offset").alias("before"), F.explode(F.sequence(F.lit(2), F.col("n"))).alias("copy")).drop("copy")
+    return missing.unionByName(doubled)

@@ -84,7 +84,7 @@ def lineage_closure(spark, sf_dir):
     return replay.closure(testdata.streams(spark))
 
 
-@query("SELECT * FROM (VALUES ('critique'), ('merged')) t(stream_id)")
+@query("SELECT DISTINCT stream_id FROM (VALUES ('retry','events'),('critique','retry'),('late','critique'),('merged','retry'),('merged','critique'),('merged','events')) t(stream_id, parent_id) WHERE parent_id = 'retry'")
 def dependent_streams(spark, sf_dir):
     return replay.dependents(testdata.streams(spark), "retry")
 
@@ -95,7 +95,9 @@ def stream_status(spark, sf_dir):
     return replay.status(testdata.records(spark, sf_dir), testdata.streams(spark))
 
 
-@query("SELECT 'late' AS stream_id, 'retry' AS owner_id, CAST(520 AS BIGINT) AS \"offset\" UNION ALL SELECT 'critique', 'retry', 549 WHERE false")
+@query(f"""{_LINEAGE}, firsts AS (SELECT stream_id, min("offset") AS low FROM own GROUP BY stream_id)
+SELECT up.stream_id, up.owner_id, up.bound AS "offset" FROM up JOIN firsts f ON f.stream_id = up.owner_id
+WHERE up.bound >= f.low AND NOT EXISTS (SELECT 1 FROM own o WHERE o.stream_id = up.owner_id AND o."offset" = up.bound AND NOT (o.stream_id = 'retry' AND o."offset" = 520))""")
 def missing_anchors(spark, sf_dir):
     """What can't be read any more once retry has lost the record at 520."""
     kept = testdata.records(spark, sf_dir).where("not (stream_id = 'retry' and offset = 520)")
@@ -139,7 +141,8 @@ def json_columns(spark, sf_dir):
     return _event_table(spark, sf_dir).withColumn("_text", F.col("_payload").cast("string")).drop("_payload", "_payload_json")
 
 
-@query("SELECT * FROM (VALUES ('event_type', 'string'), ('k', 'bigint'), ('user_id', 'bigint'), ('value', 'double')) t(field, kind)")
+@query(f"""WITH p AS (SELECT {testdata.PAYLOAD_SQL} AS j FROM events), f AS (SELECT j, unnest(json_keys(j)) AS field FROM p), k AS (SELECT DISTINCT field, json_type(j, '$.' || field) AS t FROM f)
+SELECT field, CASE WHEN bool_or(t = 'VARCHAR') THEN 'string' WHEN bool_or(t = 'DOUBLE') THEN 'double' ELSE 'bigint' END AS kind FROM k WHERE t <> 'NULL' GROUP BY field""")
 def json_schema_inference(spark, sf_dir):
     return spark.createDataFrame(list(jsoncols.infer(_history(spark, sf_dir, "events")).items()), "field string, kind string")
 
@@ -199,7 +202,9 @@ def naming_functions(spark, sf_dir):
     return e.select("event_id", named.alias("named"), scalars.merge_policy_label(policy).alias("policy"), scalars.position_list(at).alias("positions"), first.alias("first"))
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT event_type, list_transform(range(1, length(event_type) + 1), lambda i: CAST(ascii(substr(event_type, CAST(i AS INTEGER), 1)) AS HUGEINT)) AS bytes FROM events),
+h AS (SELECT event_type, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), bytes), lambda h, b: (xor(h, b) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT)) AS x FROM t)
+SELECT event_id, lpad(lower(hex(CAST(x AS UBIGINT))), 16, '0') AS checksum FROM events JOIN h USING (event_type)""")
 def fnv_checksums(spark, sf_dir):
     return testdata.events(spark, sf_dir).select("event_id", scalars.fnv1a64(F.col("event_type").cast("binary")).alias("checksum"))
 
@@ -326,6 +331,20 @@ def chunk_boundaries(spark, sf_dir):
     return found.select(F.col("key").cast("string").alias("key"), scalars.chunk_score(F.col("key")).alias("score"), scalars.chunk_boundary(F.col("key"), 15).alias("boundary"), F.col("node").cast("long").alias("node"))
 
 
+@query("""WITH e AS (SELECT 'key-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key, c_name AS value FROM customer), s AS (SELECT *, CAST('0x' || substr(sha256(key), 1, 8) AS BIGINT) & 15 = 0 AS ends, sha256(lpad(CAST(length(key) AS VARCHAR), 10, '0') || key || value) AS entry FROM e),
+n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS node FROM s)
+SELECT CAST(node AS BIGINT) AS node, sha256('leaf' || string_agg(entry, '' ORDER BY key)) AS digest, min(key) AS low, max(key) AS high, count(*) AS n_entries FROM n GROUP BY node""")
+def snapshot_leaves(spark, sf_dir):
+    found = snapshot.leaves(_entries(spark, sf_dir), 15)
+    return found.select(F.col("node").cast("long").alias("node"), "digest", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "n_entries")
+
+
+@query("SELECT 'snapshot-' || lpad(CAST(max(event_id) AS VARCHAR), 20, '0') AS snapshot_id, 'events' AS stream_id, max(event_id) AS \"offset\", (SELECT count(*) FROM customer) AS n_entries FROM events")
+def snapshot_manifest(spark, sf_dir):
+    head = testdata.events(spark, sf_dir).agg(F.max("event_id")).first()[0]
+    return snapshot.manifest(snapshot.build(_entries(spark, sf_dir), 15), "events", head).select("snapshot_id", "stream_id", "offset", "n_entries")
+
+
 @query()
 def snapshot_nodes(spark, sf_dir):
     return snapshot.build(_entries(spark, sf_dir), 15).select("level", "node", "digest", "n_entries")

@@ -14,12 +14,11 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions import jsoncols, scalars
-from loomlog.operators import integrity, retention
-from loomlog.plans import staging
+from loomlog.operators import integrity, replay, retention
 from loomlog.sources import schema
 from loomlog.sources.files import Files
 
@@ -45,17 +44,6 @@ class Appended:
     rolled: tuple[str, ...]
 
 
-def number_rows(rows: DataFrame, order: list[str], base: int) -> DataFrame:
-    """``offset`` from ``base`` on in the given order, without a window over all rows: counts of range partitions are summed first."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = staging.stage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    return dealt.withColumn("_rank", rank).join(starts, "_part").withColumn("offset", (F.col("_before") + F.col("_rank") - 1 + base).cast("bigint")).drop("_part", "_at", "_rank", "_before")
-
-
 def _hex(text: str) -> str:
     return text.encode().hex()
 
@@ -211,7 +199,7 @@ class Log:
         state = self.state(stream_id)
         rolled = [self._seal(state)] if state["head"] else []
         base = state["next_offset"]
-        numbered = number_rows(rows.select(*order, F.col(payload).cast("binary").alias("payload")) if payload not in order else rows, order, base)
+        numbered = replay.assign_offsets(rows.select(*order, F.col(payload).cast("binary").alias("payload")) if payload not in order else rows, order, base)
         segment = self._write_segment(state, numbered.select("offset", "payload"))
         if segment is None:
             raise InvalidRequest("a batch has at least one record")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import scalars
 from loomlog.operators import state as folds
 from loomlog.plans.shipping import ship
+from loomlog.sources.files import Files
 from loomlog.sources.log import InvalidRequest, Log, NotFound
 
 
@@ -194,7 +195,10 @@ class KeyedMaterializer(_Base):
         path = f"{self.log.root}/views/{self.id.encode().hex()}/{upto:020d}-{uuid.uuid4().hex[:8]}"
         merged = folds.upsert(new, order=F.col("seq"), deleted=F.col("deleted")) if self.path is None else folds.merge_entries(self.view(), new)
         merged.write.option("compression", "zstd").parquet(path)
-        self.path = path
+        old, self.path = self.path, path
+        stored = self.log.files.read(self._path())["state"] if self.log.files.exists(self._path()) else None
+        if old not in (None, stored):  # no checkpoint needs it
+            self.log.files.remove(old)
 
     def _state_document(self) -> Any:
         return self.path
@@ -288,6 +292,8 @@ def follow(spark: SparkSession, path: str, changes: Callable[[DataFrame], DataFr
         # Tombstones stay, with their number, so that files that arrive out of order fold to the same view.
         last = entries.groupBy("key").agg(F.max_by(F.struct("value", "seq", "deleted"), "seq").alias("x")).select("key", "x.value", "x.seq", "x.deleted")
         last.write.mode("overwrite").option("compression", "zstd").parquet(f"{view_path}/{number:020d}")
+        if number > 1:  # a batch that runs again needs the version before it, no older one
+            Files(batch.sparkSession).remove(f"{view_path}/{number - 2:020d}")
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -295,8 +301,6 @@ def follow(spark: SparkSession, path: str, changes: Callable[[DataFrame], DataFr
 
 def followed_view(spark: SparkSession, view_path: str) -> DataFrame:
     """The newest version of a followed view."""
-    from loomlog.sources.files import Files
-
     versions = [n for n in Files(spark).names(view_path) if n.isdigit()]
     return spark.read.parquet(f"{view_path}/{versions[-1]}").where("not deleted").select("key", "value")
 

@@ -72,3 +72,16 @@ def test_no_record_is_shuffled(spark):
     records = spark.range(100).select(F.lit("a").alias("stream_id"), F.col("id").alias("offset"), F.lit("x").alias("payload"))
     plan = replay.replay(records, streams, "b")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_offsets_and_gaps_like_a_model(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 10**6), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, k long, i long").repartition(7)
+    got = {r["i"]: r["offset"] for r in replay.assign_offsets(df, ["k", "i"], 10, ["s"]).collect()}
+    for s in ("a", "b", None):
+        assert [got[i] for _, i in sorted((k, i) for t, k, i in rows if t == s)] == list(range(10, 10 + sum(t == s for t, _, _ in rows)))
+    offsets = [(s, o) for s in "ab" for o in sorted(rng.choices(range(60), k=50))]
+    want = sorted((s, o, b) for (t, b), (s, o) in zip(offsets, offsets[1:]) if s == t and b + 1 != o)
+    assert sorted(map(tuple, replay.gaps(spark.createDataFrame(offsets, "stream_id string, offset long")).collect())) == want
+    assert replay.assign_offsets(df.limit(0), ["k"], 0).count() == 0
