@@ -6,11 +6,12 @@ boundaries counted per partition and then summed over partitions, so that no win
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import scalars
 from loomlog.plans import staging
+from loomlog.sources.files import Files
 
 NODES = "level int, node long, digest string, low binary, high binary, n_entries long, children array<string>"
 
@@ -44,7 +45,10 @@ def entry_digest(key: str = "key", value: str = "value"):
 
 def leaves(entries: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
     """One row for each leaf: ``node, digest, low, high, n_entries``. A leaf's size follows the mask, not the table."""
-    rows = chunk(entries, mask).withColumn("entry", entry_digest())
+    return _leaves(chunk(entries, mask).withColumn("entry", entry_digest()))
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
     found = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "entry"))).alias("e"))
     return found.select("node", F.sha2(F.concat(F.lit("leaf"), F.array_join(F.transform("e", lambda x: x["entry"]), "")), 256).alias("digest"), F.col("e")[0]["key"].alias("low"), F.element_at("e", -1)["key"].alias("high"), F.size("e").cast("long").alias("n_entries"))
 
@@ -54,10 +58,15 @@ def build(entries: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
 
     No entries give one empty leaf. Duplicate keys are an error.
     """
-    spark = entries.sparkSession
     if entries.groupBy("key").count().where("count > 1").limit(1).count():
         raise ValueError("duplicate keys")
-    level = staging.stage(leaves(entries, mask).select(F.lit(0).alias("level"), "node", "digest", "low", "high", "n_entries", F.lit(None).cast("array<string>").alias("children")), "leaves")
+    return over_leaves(leaves(entries, mask), mask)
+
+
+def over_leaves(found: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
+    """All nodes of the tree with these leaves (see ``leaves``)."""
+    spark = found.sparkSession
+    level = staging.stage(found.select(F.lit(0).alias("level"), "node", "digest", "low", "high", "n_entries", F.lit(None).cast("array<string>").alias("children")), "leaves")
     if not level.limit(1).count():
         return spark.sql("SELECT 0 AS level, 0L AS node, sha2('leaf', 256) AS digest, CAST(NULL AS BINARY) AS low, CAST(NULL AS BINARY) AS high, 0L AS n_entries, CAST(NULL AS ARRAY<STRING>) AS children")
     nodes, k, size = level, 0, level.count()
@@ -77,6 +86,58 @@ def build(entries: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
     return nodes
 
 
+class LeafStore:
+    """Entries of leaves in a folder, each leaf by its digest: equal leaves are there once, and what is read is checked against its name."""
+
+    SCHEMA = "key binary, value binary, digest string"
+
+    def __init__(self, spark: SparkSession, path: str, mask: int = scalars.CHUNK_MASK) -> None:
+        self.spark, self.path, self.mask = spark, path, mask
+
+    def digests(self) -> DataFrame:
+        names = [n.partition("=")[2] for n in Files(self.spark).names(self.path) if n.startswith("digest=")]
+        return self.spark.createDataFrame([(n,) for n in names], "digest string")
+
+    def put(self, entries: DataFrame) -> DataFrame:
+        """Write the leaves of ``entries`` (unique ``key``, ``value``) that are not there yet; the leaves, as ``leaves`` gives them."""
+        rows = staging.stage(chunk(entries.select("key", "value"), self.mask).withColumn("entry", entry_digest()), "entries")
+        found = staging.stage(_leaves(rows), "leaves")
+        new = found.select("node", "digest").join(self.digests(), "digest", "left_anti")
+        rows.select("node", "key", "value").join(new, "node").select("key", "value", "digest").write.mode("append").partitionBy("digest").option("compression", "zstd").parquet(self.path)
+        return found
+
+    def get(self, digests: list[str]) -> DataFrame:
+        """``key, value, digest`` of these leaves; one that is not there, or whose content has another digest, raises."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("digest").isin(digests)) if digests else self.spark.createDataFrame([], self.SCHEMA)
+        now = _leaves(rows.withColumn("node", F.col("digest")).withColumn("entry", entry_digest())).select(F.col("node").alias("name"), "digest")
+        right = {r["name"] for r in now.where("name = digest").select("name").collect()}
+        if bad := sorted(set(digests) - right):
+            raise ValueError(f"leaves are missing or damaged: {bad[:3]}")
+        return rows
+
+    def update(self, found: DataFrame, changes: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The leaves after ``changes(key, value, deleted)`` (unique keys), and the digests of those that were read; others are not touched.
+
+        A change belongs to the first leaf that ends at or after its key, or to the last. The leaf after it is read as well, since a leaf whose
+        end is deleted runs on into that one.
+        """
+        ends = found.select(F.col("high").alias("key"), "digest", F.lit(1).alias("leaf")).unionByName(changes.select("key", F.lit(None).cast("string").alias("digest"), F.lit(0).alias("leaf")))
+        order = Window.orderBy("key", "leaf")  # a row for each leaf and each change
+        after = F.first("digest", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        following = F.lead("digest").over(Window.orderBy("high"))
+        last = found.agg(F.max_by("digest", "high").alias("digest")).first()["digest"]
+        hit = ends.withColumn("of", after).where("leaf = 0").select(F.col("of").alias("digest"))
+        hit = hit.select(F.coalesce("digest", F.lit(last).cast("string")).alias("digest")).where("digest is not null")
+        next_ones = found.select("digest", following.alias("then"))
+        touched = [r["digest"] for r in hit.distinct().join(next_ones, "digest", "left").select(F.explode(F.array_compact(F.array("digest", "then"))).alias("digest")).distinct().collect()]  # two for each change at most
+        kept = found.where(~F.col("digest").isin(touched)) if touched else found
+        old = self.get(touched).select("key", "value")
+        merged = old.join(changes.select("key"), "key", "left_anti").unionByName(changes.where("not deleted").select("key", "value"))
+        both = kept.drop("node").unionByName(self.put(merged).drop("node"))
+        number = F.row_number().over(Window.orderBy("high")) - 1  # a row for each leaf
+        return both.withColumn("node", number.cast("long")), touched
+
+
 def root_digest(nodes: DataFrame) -> str:
     return nodes.orderBy(F.desc("level")).select("digest").first()[0]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import jsoncols, scalars
 from loomlog.operators import cursors, integrity, replay, retention, snapshot, state, workloads
+from loomlog.plans import staging
 from loomlog.plans.sqlsurface import Surface
 from loomlog.sources import testdata
 from loomlog.sources.testdata import RECORDS_SQL, table
@@ -339,6 +340,17 @@ def snapshot_leaves(spark, sf_dir):
     return found.select(F.col("node").cast("long").alias("node"), "digest", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "n_entries")
 
 
+@query("""WITH e AS (SELECT 'key-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key, c_name AS value FROM customer WHERE c_custkey <> 9 UNION ALL SELECT 'key-00000007a', 'new' UNION ALL SELECT 'z', 'last'), s AS (SELECT *, CAST('0x' || substr(sha256(key), 1, 8) AS BIGINT) & 15 = 0 AS ends, sha256(lpad(CAST(length(key) AS VARCHAR), 10, '0') || key || value) AS entry FROM e),
+n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS node FROM s)
+SELECT CAST(node AS BIGINT) AS node, sha256('leaf' || string_agg(entry, '' ORDER BY key)) AS digest, count(*) AS n_entries FROM n GROUP BY node""")
+def snapshot_update(spark, sf_dir):
+    """A stored tree after two keys more and one less: only the leaves concerned are read and written."""
+    store = snapshot.LeafStore(spark, staging.new_path(spark, "leaf-store"), 15)
+    found = store.put(_entries(spark, sf_dir))
+    changes = spark.createDataFrame([(bytearray(b"key-00000007a"), bytearray(b"new"), False), (bytearray(b"z"), bytearray(b"last"), False), (bytearray(b"key-00000009"), None, True)], "key binary, value binary, deleted boolean")
+    return store.update(found, changes)[0].select("node", "digest", "n_entries")
+
+
 @query("SELECT 'snapshot-' || lpad(CAST(max(event_id) AS VARCHAR), 20, '0') AS snapshot_id, 'events' AS stream_id, max(event_id) AS \"offset\", (SELECT count(*) FROM customer) AS n_entries FROM events")
 def snapshot_manifest(spark, sf_dir):
     head = testdata.events(spark, sf_dir).agg(F.max("event_id")).first()[0]

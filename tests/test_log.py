@@ -370,3 +370,30 @@ def test_live_records(log):
 
     assert [bytes(r["payload"]) for r in m.live(log, "t", poll_seconds=0, idle=idle)] == [b"new", b"newer"]
     assert [r["offset"] for r in m.live(log, "t", 1, idle=lambda: False)] == [1, 2]
+
+
+def test_stored_leaves_after_changes(spark, tmp_path):
+    """Point changes give the leaves of a tree built anew, reading few; damaged leaves are found."""
+    rng = random.Random(11)
+    schema = "key binary, value binary"
+    table = {f"k{i:04d}".encode(): b"v" for i in range(400)}
+    frame = lambda t: spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in t.items()], schema)
+    store = snapshot.LeafStore(spark, f"file://{tmp_path}/leaves", 15)
+    found = store.put(frame(table))
+    ends = [bytes(r["high"]) for r in found.orderBy("node").collect()]
+    steps = [{ends[2]: None}, {b"k0100x": b"new", ends[5]: None, ends[6]: None}, {b"zz": b"after all", b"a": b"before all"}, {rng.choice(list(table)): b"changed"}]
+    for changes in steps:
+        table = {k: v for k, v in (table | changes).items() if v is not None}
+        rows = [(bytearray(k), None if v is None else bytearray(v), v is None) for k, v in changes.items()]
+        found, read = store.update(found, spark.createDataFrame(rows, f"{schema}, deleted boolean"))
+        want = snapshot.leaves(frame(table), 15)
+        assert [tuple(r) for r in found.select("digest", "n_entries").orderBy("node").collect()] == [tuple(r) for r in want.orderBy("node").select("digest", "n_entries").collect()]
+        assert len(read) <= 2 * len(changes) and len(read) < want.count() / 2
+    assert snapshot.root_digest(snapshot.over_leaves(found, 15)) == snapshot.root_digest(snapshot.build(frame(table), 15))
+    some = [r["digest"] for r in found.limit(2).collect()]
+    assert {r["digest"] for r in store.get(some).collect()} == set(some) and store.get([]).count() == 0
+    with pytest.raises(ValueError):
+        store.get(["0" * 64])
+    spark.createDataFrame([(bytearray(b"x"), bytearray(b"y"))], schema).write.mode("append").parquet(f"file://{tmp_path}/leaves/digest={some[0]}")
+    with pytest.raises(ValueError):
+        store.get(some)
