@@ -14,7 +14,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    SimHash with ball hashing over five-word shingles, links verified at a similarity of 0.8; an exact check adds those out of the balls' reach.
+    """
     return nearcopies.deduplicate(docs)
 
 

@@ -1,12 +1,14 @@
-"""Near copies by the true similarity of their sets of word shingles.
+"""Near copies by SimHash and ball hashing, held against the true similarity of their sets of word shingles.
 
-Candidates come from MinHash bands: a number of keys for each distinct text, each over some smallest hashes. Two texts of similarity
-s share none of ``bands`` keys over ``rows`` hashes with probability ``(1 - s**rows)**bands``: 4e-9 at 0.8. Every
-candidate is verified on its texts, so no chance collision is believed.
+Candidates come from balls around the SimHash fingerprints of the sets (``simhash.wide_links``): whatever lies within 11 bits is
+connected. Each candidate is verified on its texts, so no chance collision is believed. The links among the fingerprints of a
+bucket form a forest, so a large group of copies stays linear, and what they connect needs no further comparison.
 
-A bucket of m texts gives m - 1 pairs first, with its most central text (the one that shares the most buckets). What these connect
-needs no further comparison, so a large group of copies stays linear. Texts of buckets that still hold more than one component are
-then joined by prefixes of their sets, which loses no pair. Shingles are ordered by the number of texts that have them, rare ones
+An exact check follows, since sets that are 80 % similar differ in about 10 bits, give or take 3, and a link of the forest may fail
+where another would have held. MinHash bands tell which texts to look at: two texts of similarity s share none of ``bands`` keys over
+``rows`` hashes with probability ``(1 - s**rows)**bands``: 4e-9 at 0.8. In buckets that still hold more than one component, the texts of
+others are compared with the most central one (which shares the most buckets); those of buckets still not settled
+are joined by prefixes of their sets, which loses no pair. Shingles are ordered by the number of texts that have them, rare ones
 first. Two sets of sizes k and l that are ``percent`` similar share at least a = percent * (k + l) / (100 + percent) shingles, so the
 first k - a + 1 of the one and the first l - a + 1 of the other have a shingle in common. Copies that differ too much have
 enough shingles of their own to fill these prefixes, so they don't meet, however many they are. Sets are
@@ -95,8 +97,9 @@ def _prints(shingle: int):
         for batch in common.slices(batches):
             sets = [shingles(t, shingle) for t in common.utf8(batch.column(2))]
             nodes = np.array([x[1] for x in sets], np.uint64).view(np.int64)
+            fps = np.array([simhash.majority(x[0]) for x in sets], np.uint64).view(np.int64)
             keys = _lists([band_keys(x[0], BANDS, ROWS) for x in sets], BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([x[0].size for x in sets], pa.int64()), keys], ["doc_id", "text_hash", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([x[0].size for x in sets], pa.int64()), pa.array(fps), keys], ["doc_id", "text_hash", "node", "n", "simhash", "keys"])
 
     return run
 
@@ -176,21 +179,38 @@ def _verify(percent: int, shingle: int):
     return run
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def ball_pairs(nodes: DataFrame, balls: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b`` (a before b) of ``nodes(node, n, simhash)`` whose fingerprints are equal or linked by ``balls(a, b)`` and whose sizes allow it.
+
+    Nodes with one fingerprint are paired with the first of them, which also stands for it in the links.
+    """
+    heads = nodes.groupBy("simhash").agg(F.min(F.struct("node", "n")).alias("head"))
+    same = nodes.join(heads, "simhash").select("head", F.struct("node", "n").alias("other"))
+    linked = balls.join(heads.select(F.col("simhash").alias("a"), "head"), "a").join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("other")), "b")
+    pairs = same.union(linked.select("head", "other")).where("head.node <> other.node")
+    fits = 100 * F.least("head.n", "other.n") >= percent * F.greatest("head.n", "other.n")
+    return pairs.where(fits).select(F.least("head.node", "other.node").alias("a"), F.greatest("head.node", "other.node").alias("b"))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash, fp`` of every row, and ``fp, root`` of every ``fp`` that is linked to another."""
     spark = docs.sparkSession
     common.ship(spark)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("_text"))
-    prints = staging.stage(source.mapInArrow(_prints(shingle), "doc_id long, text_hash long, node long, n long, keys array<long>"), "copies")
+    prints = staging.stage(source.mapInArrow(_prints(shingle), "doc_id long, text_hash long, node long, n long, simhash long, keys array<long>"), "copies")
     parts = max(1, -(-prints.count() // _FILE_DOCS))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     at = [F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")]
     with staging.Scratch(spark) as scratch:
-        keyed = prints.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("bucket"))
-        members = keyed.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
-        sizes = prints.groupBy("node").agg(F.min("n").alias("n"))
-        members = scratch.stage(members.join(sizes, "node"), "copies-buckets", parts)
+        nodes = scratch.stage(prints.groupBy("node").agg(F.min("n").alias("n"), F.min("simhash").alias("simhash")), "copies-nodes", parts)
+        balls = scratch.stage(simhash.wide_links(nodes.select("simhash").distinct().withColumnRenamed("simhash", "fp")), "copies-balls", parts)
+        near = scratch.stage(ball_pairs(nodes, balls, percent), "copies-pairs", parts)
+        members = near.select(F.explode(F.array("a", "b")).alias("node"))
+        if exact:
+            keyed = prints.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("bucket"))
+            several = keyed.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
+            buckets = scratch.stage(several.join(nodes.select("node", "n"), "node"), "copies-buckets", parts)
+            members = members.union(buckets.select("node"))
 
         # One row for each text, found by its id: all copies of a text would be found by its hash.
         chosen = prints.groupBy("node").agg(F.min(F.struct(*at)).alias("at")).join(members.select("node").distinct(), "node", "left_semi")
@@ -202,37 +222,47 @@ def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
         def verified(pairs: DataFrame) -> DataFrame:
             x = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             x = x.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            return scratch.stage(x.select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), "a long, b long"), "copies-links")
-
-        degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
-        central = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
-        stars = members.join(central, "bucket").where((F.col("a") != F.col("node")) & fits(F.col("na"), F.col("n")))
-        stars = scratch.stage(stars.select("a", F.col("node").alias("b")).distinct(), "copies-pairs", parts)
-        links = verified(stars)
-
-        roots = simhash.components(links).select("node", "root")
-        rooted = members.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = scratch.stage(rooted, "copies-rooted", parts)
-        several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        unsettled = rooted.join(several, "bucket").groupBy("node").agg(F.min("root").alias("root"))
+            return scratch.stage(x.select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), "a long, b long"), "copies-links", 4 * parts)
+
+        links = verified(near)
+        if not exact:
+            roots = scratch.stage(simhash.components(links, parts=parts), "copies-roots", parts, keep=True)
+            return prints.select("doc_id", "text_hash", F.col("node").alias("fp")), roots.withColumnRenamed("node", "fp")
+
+        def unsettled_in(buckets: DataFrame, links: DataFrame) -> DataFrame:
+            roots = simhash.components(links, parts=parts).select("node", "root")
+            rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = scratch.stage(rooted, "copies-rooted", parts)
+            several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+            return rooted.join(several, "bucket")
+
+        mixed = scratch.stage(unsettled_in(buckets, links), "copies-unsettled", parts)
+        degree = buckets.groupBy("node").agg(F.sum("m").alias("degree"))
+        central = mixed.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node", "n", "root")).alias("c"))
+        fits = 100 * F.least("c.n", "n") >= percent * F.greatest("c.n", "n")
+        stars = mixed.join(central, "bucket").where((F.col("c.root") != F.col("root")) & fits)
+        stars = stars.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
+        stars = scratch.stage(stars.join(near, ["a", "b"], "left_anti"), "copies-pairs", parts)
+        links = links.union(verified(stars))
+
+        unsettled = unsettled_in(mixed.drop("root"), links).groupBy("node").agg(F.min("root").alias("root"))
         grams = unsettled.join(texts, "node").select("node", "text").mapInArrow(_grams(shingle), "node long, grams array<long>")
-        grams = scratch.stage(grams, "copies-grams").select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
+        grams = scratch.stage(grams, "copies-grams", 4 * parts).select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
         left = prefixes(grams, percent).join(unsettled.select("node", "root"), "node")
         left = scratch.stage(left, "copies-prefixes", parts)
-        seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = scratch.stage(prefix_pairs(left, percent).join(seen, ["a", "b"], "left_anti"), "copies-pairs", parts)
-        roots = scratch.stage(simhash.components(links.union(verified(rest))), "copies-roots", parts, keep=True)
+        rest = scratch.stage(prefix_pairs(left, percent).join(near.union(stars), ["a", "b"], "left_anti"), "copies-pairs", parts)
+        roots = scratch.stage(simhash.components(links.union(verified(rest)), parts=parts), "copies-roots", parts, keep=True)
     return prints.select("doc_id", "text_hash", F.col("node").alias("fp")), roots.withColumnRenamed("node", "fp")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, exact: bool = True) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, text_hash, fp, root`` (fp: a hash of the words, root: its class).
 
     Two texts are linked if the sets of their runs of ``shingle`` words (A-Z lower-cased) are ``percent`` similar or more; classes are
     what links connect. Null and empty texts are alike. Ids may be null or repeated; repeated rows each give a row, an empty
-    table gives none. Texts may be of any length; other columns are not read.
+    table gives none. Texts may be of any length; other columns are not read. Without ``exact`` the links are those that the balls alone find.
     """
-    prints, roots = _classes(docs, doc_id, text, shingle, percent)
+    prints, roots = _classes(docs, doc_id, text, shingle, percent, exact)
     return prints.join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -9,6 +9,9 @@ variant, and its members are verified on all 64 bits. No link is missed and no c
 
 Buckets work on distinct fingerprints, so exact copies meet in a group-by with map-side combine. Within a bucket only a
 spanning forest of the links is emitted, found without looking at all pairs (see ``link_bucket``).
+
+For a wider radius (``wide_links``) all blocks but one are left out: of ``3 * blocks - 1`` differing bits or fewer, some block holds at
+most two, and there the balls of radius one meet.
 """
 
 from __future__ import annotations
@@ -28,7 +31,11 @@ RADIUS = 3
 BLOCKS = 3
 SHINGLE = 3
 SEED = 42
+#: Blocks of which ``wide_links`` keeps one; it then finds all within three times as many bits, less one.
+WIDE_BLOCKS = 4
 _CHUNK = 1 << 16
+#: Members of a bucket that are all compared with each other.
+_SQUARE = 1 << 12
 _FILE_EDGES = 1 << 15
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -47,11 +54,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
         n = len(words) - shingle + 1
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
+    for i in range(0, hashes.size, _CHUNK):
         part = hashes[i : i + _CHUNK]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<u8")[0])
 
 
 def cuts(blocks: int = BLOCKS) -> list[tuple[int, int]]:
@@ -75,6 +87,17 @@ def variants(fps: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(of)
 
 
+def wide_variants(fps: np.ndarray, blocks: int = WIDE_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """As ``variants``, with all blocks but one left out; from bit 60 on a key holds the number of the block kept."""
+    keys, of = [], []
+    for j, (a, b) in enumerate(cuts(blocks)):
+        kept = fps >> np.uint64(a) & np.uint64((1 << b - a) - 1)
+        flips = np.array([0, *(1 << i for i in range(b - a))], np.uint64)
+        keys.append(((kept | np.uint64(j << 60))[:, None] ^ flips[None, :]).ravel())
+        of.append(np.repeat(fps, flips.size))
+    return np.concatenate(keys), np.concatenate(of)
+
+
 class _Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -146,6 +169,49 @@ def link_bucket(key: int, members: list[int], blocks: int = BLOCKS, radius: int
     return links
 
 
+def link_near(key: int, members: list[int], blocks: int, radius: int) -> list[tuple[int, int]]:
+    """Links that connect the (different) members of a bucket just as all their links would.
+
+    They form a forest: up to ``_SQUARE`` members one of the least distances, which a check on the texts most likely confirms. Beyond, a breadth
+    first one, for which a member is compared with those not yet reached: near copies, however many, are reached at once.
+    """
+    left = np.array(members, np.uint64)
+    if left.size > _SQUARE:
+        return _breadth_first(left, radius)
+    step = max(1, (1 << 18) // left.size)
+    left = left[np.concatenate([(np.bitwise_count(left[i : i + step, None] ^ left) <= radius).sum(1) > 1 for i in range(0, left.size, step)])]
+    links: list[tuple[int, int]] = []
+    if not left.size:
+        return links
+    x, left = left[0], left[1:].copy()
+    least, of = np.full(left.size, 255, np.uint8), left.copy()  # distance to the nearest one taken, and that one
+    while left.size:
+        distance = np.bitwise_count(left ^ x)
+        nearer = distance < least
+        least[nearer], of[nearer] = distance[nearer], x
+        i = int(least.argmin())
+        x = left[i]
+        if least[i] <= radius:
+            links.append((int(min(x, of[i])), int(max(x, of[i]))))
+        left[i], least[i], of[i] = left[-1], least[-1], of[-1]
+        left, least, of = left[:-1], least[:-1], of[:-1]
+    return links
+
+
+def _breadth_first(left: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    links: list[tuple[int, int]] = []
+    while left.size > 1:
+        reached, left = [left[:1]], left[1:]
+        for some in reached:
+            for x in some:
+                near = np.bitwise_count(left ^ x) <= radius
+                if near.any():
+                    found, left = left[near], left[~near]
+                    links += zip(np.minimum(found, x).tolist(), np.maximum(found, x).tolist(), strict=True)
+                    reached.append(found)
+    return links
+
+
 def _fingerprints(text: str, out: str, shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -155,7 +221,7 @@ def _fingerprints(text: str, out: str, shingle: int):
     return run
 
 
-def _emit(blocks: int):
+def _emit(blocks: int, variants=variants):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -166,7 +232,7 @@ def _emit(blocks: int):
     return run
 
 
-def _links(blocks: int, radius: int):
+def _links(blocks: int, radius: int, link_bucket=link_bucket):
     names = ["a", "b"]
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -230,15 +296,30 @@ def links(fps: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFra
     return dealt.mapInArrow(_links(blocks, radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def wide_links(fps: DataFrame, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """As ``links``, for a radius of ``3 * blocks - 1`` bits.
+
+    A bucket has all that agree in ``64 // blocks`` bits but two, strangers too, which are compared as 64-bit numbers: quadratic in their number.
+    """
+    if not 1 <= blocks <= 16:
+        raise ValueError("1 to 16 blocks")
+    spark = fps.sparkSession
+    common.ship(spark)
+    emitted = fps.mapInArrow(_emit(blocks, wide_variants), "bucket long, fp long")
+    dealt = emitted.repartition(common.ordered(spark), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_links(blocks, 3 * blocks - 1, link_near), "a long, b long").distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, parts: int | None = None) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``: root is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps, each written to the shared folder, in a file for each ``_FILE_EDGES`` edges at least. The
+    Alternating large-star and small-star steps, each written to the shared folder, in a file for each ``_FILE_EDGES`` edges at least
+    (``parts``: the most files of the first). The
     smallest neighbour comes from an aggregation with map-side combine, then joins back, so a hub is never one task's group.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    path = staging.write_table(now, "cc")
+    path = staging.write_table(now, "cc", parts)
     before = None
     for _ in range(most_rounds):
         e = spark.read.schema("u long, v long").parquet(path)

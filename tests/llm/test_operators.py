@@ -545,6 +545,39 @@ def test_bucket_links_in_large_buckets():
     assert classes(nodes, lambda x, y: (x ^ y).bit_count() <= 3) == classes(nodes, lambda x, y: (x, y) in pairs)
 
 
+@pytest.mark.parametrize("blocks", [3, 4])
+def test_wide_links_connect_all_that_is_near(spark, blocks):
+    """Chains of fingerprints at the radius and one bit beyond, a large group of copies, and strangers."""
+    rng = random.Random(20 + blocks)
+    radius = 3 * blocks - 1
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(240):
+        x = rng.choice(sorted(fps))
+        for b in rng.sample(range(64), rng.choice([1, 5, radius - 1, radius, radius, radius + 1, radius + 1])):
+            x ^= 1 << b
+        fps.add(x)
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(900)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.wide_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), blocks).collect()]
+    assert all(a < b and (a ^ b).bit_count() <= radius for a, b in got) and len(got) < 40 * len(fps)
+    want = classes(sorted(fps), lambda a, b: (a ^ b).bit_count() <= radius)
+    pairs = set(got)
+    assert classes(sorted(fps), lambda a, b: (a, b) in pairs) == want and 20 < len(set(want.values())) < 250
+
+
+def test_forests_of_large_buckets():
+    """The forest of least distances and the breadth first one connect the same, one link fewer than members each."""
+    rng = random.Random(22)
+    centre = rng.getrandbits(64)
+    members = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(300)})
+    want = classes(members, lambda a, b: (a ^ b).bit_count() <= 11)
+    for links in (simhash.link_near(0, members, 4, 11), simhash._breadth_first(np.array(members, np.uint64), 11)):
+        assert all(a < b and (a ^ b).bit_count() <= 11 for a, b in links) and len(links) == len(members) - len(set(want.values()))
+        pairs = set(links)
+        assert classes(members, lambda a, b: (a, b) in pairs) == want
+
+
 def test_near_duplicates(spark):
     rng = random.Random(10)
     base = [prose(rng, 200) for _ in range(12)]
@@ -591,6 +624,27 @@ def test_near_copies(spark):
     assert len(set(want.values())) < 150 and nearcopies.deduplicate(make(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_come_from_balls(spark):
+    """Without the exact check: a copy within 11 bits is linked, no text below 0.8 is, and of all pairs at 0.8 nine of ten share a class."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(150):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        for changes in (0, k % 6 + 1):
+            copy = list(words)
+            for i in rng.sample(range(2, 298), changes):
+                copy[i] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [nearcopies.shingles(t.encode())[0] for t in texts]
+    prints = [simhash.majority(s) for s in sets]
+    root = {r["doc_id"]: r["root"] for r in nearcopies.near_copies(make(spark, texts), exact=False).collect()}
+    alike = [i for i in range(0, len(texts), 2) if nearcopies.similar(sets[i], sets[i + 1])]
+    near = [i for i in alike if (prints[i] ^ prints[i + 1]).bit_count() <= 11]
+    assert len(alike) >= len(near) >= 120 and all(root[i] == root[i + 1] for i in near)
+    assert sum(root[i] == root[i + 1] for i in alike) >= 0.9 * len(alike)
+    assert len(set(root.values())) == len(texts) - sum(root[i] == root[i + 1] for i in alike)
+
+
 def test_prefixes_lose_no_pair(spark):
     """Sets of all sizes and similarities: all pairs at 80 % or more are among the candidates, and far copies hardly."""
     rng = random.Random(19)
