@@ -6,10 +6,13 @@ boundaries counted per partition and then summed over partitions, so that no win
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import scalars
+from loomlog.operators import replay
 from loomlog.plans import staging
 from loomlog.sources.files import Files
 
@@ -87,28 +90,42 @@ def over_leaves(found: DataFrame, mask: int = scalars.CHUNK_MASK) -> DataFrame:
 
 
 class LeafStore:
-    """Entries of leaves in a folder, each leaf by its digest: equal leaves are there once, and what is read is checked against its name."""
+    """Entries of leaves in a folder, each leaf by its digest: equal leaves are there once, and what is read is checked against its name.
+
+    The leaves of one ``put`` share a few files, sorted by digest, so files follow the size of what is written, not the number of leaves, and
+    the files' statistics tell where a leaf is. Folders ``digest=...``, one for each leaf, as earlier stores have them, are read as well.
+    """
 
     SCHEMA = "key binary, value binary, digest string"
 
     def __init__(self, spark: SparkSession, path: str, mask: int = scalars.CHUNK_MASK) -> None:
         self.spark, self.path, self.mask = spark, path, mask
 
+    def _rows(self, only: list[str] | None = None) -> DataFrame:
+        """``key, value, digest`` of these leaves, or of all; unchecked."""
+        names, parts = Files(self.spark).names(self.path), []
+        if "leaves" in names:
+            parts.append(self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/leaves"))
+        wanted = None if only is None else {f"digest={d}" for d in only}
+        if folders := [f"{self.path}/{n}" for n in names if n.startswith("digest=") and (wanted is None or n in wanted)]:
+            parts.append(self.spark.read.option("basePath", self.path).schema(self.SCHEMA).parquet(*folders))
+        rows = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return rows if only is None else rows.where(F.col("digest").isin(only))
+
     def digests(self) -> DataFrame:
-        names = [n.partition("=")[2] for n in Files(self.spark).names(self.path) if n.startswith("digest=")]
-        return self.spark.createDataFrame([(n,) for n in names], "digest string")
+        return self._rows().select("digest").distinct()
 
     def put(self, entries: DataFrame) -> DataFrame:
         """Write the leaves of ``entries`` (unique ``key``, ``value``) that are not there yet; the leaves, as ``leaves`` gives them."""
         rows = staging.stage(chunk(entries.select("key", "value"), self.mask).withColumn("entry", entry_digest()), "entries")
         found = staging.stage(_leaves(rows), "leaves")
         new = found.select("node", "digest").join(self.digests(), "digest", "left_anti")
-        rows.select("node", "key", "value").join(new, "node").select("key", "value", "digest").write.mode("append").partitionBy("digest").option("compression", "zstd").parquet(self.path)
+        rows.select("node", "key", "value").join(new, "node").select("key", "value", "digest").sortWithinPartitions("digest", "key").write.mode("append").option("compression", "zstd").parquet(f"{self.path}/leaves")
         return found
 
     def get(self, digests: list[str]) -> DataFrame:
         """``key, value, digest`` of these leaves; one that is not there, or whose content has another digest, raises."""
-        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("digest").isin(digests)) if digests else self.spark.createDataFrame([], self.SCHEMA)
+        rows = self._rows(digests)
         now = _leaves(rows.withColumn("node", F.col("digest")).withColumn("entry", entry_digest())).select(F.col("node").alias("name"), "digest")
         right = {r["name"] for r in now.where("name = digest").select("name").collect()}
         if bad := sorted(set(digests) - right):
@@ -121,21 +138,30 @@ class LeafStore:
         A change belongs to the first leaf that ends at or after its key, or to the last. The leaf after it is read as well, since a leaf whose
         end is deleted runs on into that one.
         """
-        ends = found.select(F.col("high").alias("key"), "digest", F.lit(1).alias("leaf")).unionByName(changes.select("key", F.lit(None).cast("string").alias("digest"), F.lit(0).alias("leaf")))
-        order = Window.orderBy("key", "leaf")  # a row for each leaf and each change
-        after = F.first("digest", True).over(order.rowsBetween(1, Window.unboundedFollowing))
-        following = F.lead("digest").over(Window.orderBy("high"))
+        after = _leaf_after(found.select(F.col("high").alias("key"), "digest").unionByName(changes.select("key", F.lit(None).cast("string").alias("digest"))))
         last = found.agg(F.max_by("digest", "high").alias("digest")).first()["digest"]
-        hit = ends.withColumn("of", after).where("leaf = 0").select(F.col("of").alias("digest"))
-        hit = hit.select(F.coalesce("digest", F.lit(last).cast("string")).alias("digest")).where("digest is not null")
-        next_ones = found.select("digest", following.alias("then"))
+        hit = after.where("digest is null").select(F.coalesce("after", F.lit(last).cast("string")).alias("digest")).where("digest is not null")
+        next_ones = after.where("digest is not null").select("digest", F.col("after").alias("then"))
         touched = [r["digest"] for r in hit.distinct().join(next_ones, "digest", "left").select(F.explode(F.array_compact(F.array("digest", "then"))).alias("digest")).distinct().collect()]  # two for each change at most
         kept = found.where(~F.col("digest").isin(touched)) if touched else found
         old = self.get(touched).select("key", "value")
         merged = old.join(changes.select("key"), "key", "left_anti").unionByName(changes.where("not deleted").select("key", "value"))
         both = kept.drop("node").unionByName(self.put(merged).drop("node"))
-        number = F.row_number().over(Window.orderBy("high")) - 1  # a row for each leaf
-        return both.withColumn("node", number.cast("long")), touched
+        return replay.assign_offsets(both, ["high"], 0).withColumnRenamed("offset", "node"), touched
+
+
+def _leaf_after(ends: DataFrame) -> DataFrame:
+    """``ends`` (``key``, and ``digest`` where a leaf ends at it) with ``after``: the leaf that ends next, for other keys at the key or next.
+
+    Ranges of keys are dealt to many tasks and looked through from their last key to the first; a range's last rows take the leaf from the ranges after it.
+    """
+    order = [F.col("key"), F.col("digest").isNotNull()]
+    dealt = staging.stage(ends.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ends")
+    back = Window.partitionBy("part").orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("part").agg(F.min_by("digest", F.when(F.col("digest").isNotNull(), F.col("key"))).alias("first"))
+    later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    beyond = firsts.select("part", F.last("first", True).over(later).alias("beyond"))
+    return dealt.withColumn("within", F.last("digest", True).over(back)).join(beyond, "part").select("key", "digest", F.coalesce("within", "beyond").alias("after"))
 
 
 def root_digest(nodes: DataFrame) -> str:

@@ -397,3 +397,42 @@ def test_stored_leaves_after_changes(spark, tmp_path):
     spark.createDataFrame([(bytearray(b"x"), bytearray(b"y"))], schema).write.mode("append").parquet(f"file://{tmp_path}/leaves/digest={some[0]}")
     with pytest.raises(ValueError):
         store.get(some)
+
+
+def test_stored_leaves_share_files(spark, tmp_path):
+    """Thousands of leaves take a few files, and equal leaves are written once; leaves in folders of their own, as earlier stores have them, are read."""
+    rows = spark.range(3000).selectExpr("CAST(lpad(id, 6, '0') AS BINARY) AS key", "CAST('v' AS BINARY) AS value")
+    store = snapshot.LeafStore(spark, f"file://{tmp_path}/leaves", 3)
+    found = store.put(rows)
+    n = found.count()
+    assert n > 500 and len(list((tmp_path / "leaves").rglob("*.parquet"))) <= 16
+    store.put(rows)
+    assert store.get([r["digest"] for r in found.limit(5).collect()]).count() == found.limit(5).agg(F.sum("n_entries")).first()[0]
+    assert store.digests().count() == n and store._rows().count() == 3000
+    old = snapshot.LeafStore(spark, f"file://{tmp_path}/old", 3)
+    some = [r["digest"] for r in found.orderBy("node").limit(40).collect()]
+    store.get(some).write.partitionBy("digest").parquet(f"file://{tmp_path}/old")
+    assert {r["digest"] for r in old.digests().collect()} == set(some) and old.get(some[:3]).select("digest").distinct().count() == 3
+    ends = found.orderBy("node").limit(40)
+    now, _ = old.update(ends, spark.createDataFrame([(bytearray(b"000001x"), bytearray(b"new"), False)], "key binary, value binary, deleted boolean"))
+    want = snapshot.leaves(store.get(some).select("key", "value").unionByName(spark.createDataFrame([(bytearray(b"000001x"), bytearray(b"new"))], "key binary, value binary")), 3)
+    assert [r["digest"] for r in now.orderBy("node").collect()] == [r["digest"] for r in want.orderBy("node").collect()]
+
+
+def test_leaf_after_over_many_parts(spark):
+    """The leaf at or after a key, where ranges of keys lie in many parts and some have no leaf."""
+    rng = random.Random(3)
+    leaves = {rng.randrange(1000): f"d{i}" for i in range(25)}
+    keys = [k for k in range(1003) if rng.random() < 0.3 or k in leaves]
+    frame = spark.createDataFrame([(k.to_bytes(2, "big"), d) for k, d in [*leaves.items(), *((k, None) for k in keys)]], "key binary, digest string")
+    set_aside = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = snapshot._leaf_after(frame)
+        got = sorted((int.from_bytes(r["key"], "big"), r["digest"] or "", r["after"]) for r in found.collect())
+    finally:
+        for k, v in set_aside.items():
+            spark.conf.set(k, v)
+    first = lambda low: next((leaves[k] for k in sorted(leaves) if k >= low), None)
+    assert got == sorted([*((k, d, first(k + 1)) for k, d in leaves.items()), *((k, "", first(k)) for k in keys)], key=lambda r: r[:2])
