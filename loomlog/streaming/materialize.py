@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import scalars
 from loomlog.operators import state as folds
+from loomlog.plans import staging
 from loomlog.plans.shipping import ship
 from loomlog.sources.files import Files
 from loomlog.sources.log import InvalidRequest, Log, NotFound
@@ -40,9 +41,33 @@ class CountReducer:
         return state + 1
 
 
+#: Bytes of records that one task of an ordered pass sorts, about; a record counts as its payload and 32 bytes.
+RANGE_BYTES = 64 << 20
+
+
 def fold_in_order(rows: DataFrame, reducer: Reducer, state: Any) -> Any:
-    """One ordered pass in one task, as such a reducer demands; a batch of records is in memory at a time."""
-    ship(rows.sparkSession)
+    """One ordered pass, as such a reducer demands, a range of offsets after the other.
+
+    Many tasks deal the records by ranges and write them; each range is then sorted and reduced by one task, which goes on from the state
+    that the range before it has left. So no task holds more than a range, however long the log is.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    rows = rows.select("offset", "payload")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("payload"), F.lit(0)) + F.lit(32))).first()[0] or 0
+    if size <= RANGE_BYTES:
+        return _fold_range(rows, reducer, state)
+    with staging.Scratch(spark) as scratch:
+        # An explicit number: adaptive plans leave it as it is. Sorted, so that files are in order even where a range is written as several.
+        staged = scratch.stage(rows.repartitionByRange(-(-size // RANGE_BYTES), "offset").sortWithinPartitions("offset"), "ranges")
+        firsts = staged.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("offset").alias("first")).collect()  # a row for each range
+        for r in sorted(firsts, key=lambda r: r["first"]):
+            state = _fold_range(spark.read.schema(rows.schema).parquet(f"{scratch.paths[-1]}/{r['file']}"), reducer, state)
+    return state
+
+
+def _fold_range(rows: DataFrame, reducer: Reducer, state: Any) -> Any:
+    """The records in order through one task; a batch of them is in Python's memory at a time."""
     first = json.dumps(state)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +77,7 @@ def fold_in_order(rows: DataFrame, reducer: Reducer, state: Any) -> Any:
                 now = reducer.reduce(now, offset, bytes(payload))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(now)])], ["state"])
 
-    done = rows.select("offset", "payload").repartitionByRange(1, "offset").sortWithinPartitions("offset").mapInArrow(run, "state string").collect()
+    done = rows.repartitionByRange(1, "offset").sortWithinPartitions("offset").mapInArrow(run, "state string").collect()
     return json.loads(done[-1]["state"]) if done else state
 
 

@@ -436,3 +436,35 @@ def test_leaf_after_over_many_parts(spark):
             spark.conf.set(k, v)
     first = lambda low: next((leaves[k] for k in sorted(leaves) if k >= low), None)
     assert got == sorted([*((k, d, first(k + 1)) for k, d in leaves.items()), *((k, "", first(k)) for k in keys)], key=lambda r: r[:2])
+
+
+def test_ordered_fold_in_ranges(spark, log, monkeypatch):
+    """A reducer that depends on the order sees every record once, in order, though no task has more than a range of them."""
+
+    class Chain:
+        def initial(self):
+            return {"hash": "", "n": 0, "last": -1, "tasks": []}
+
+        def reduce(self, state, offset, payload):
+            import hashlib
+
+            from pyspark import TaskContext
+
+            assert offset > state["last"]
+            task = TaskContext.get().taskAttemptId()
+            tasks = state["tasks"] if state["tasks"] and state["tasks"][-1][0] == task else [*state["tasks"], [task, 0]]
+            tasks[-1][1] += 1
+            return {"hash": hashlib.sha256(state["hash"].encode() + b"%d:" % offset + payload).hexdigest(), "n": state["n"] + 1, "last": offset, "tasks": tasks}
+
+    log.create_root("long")
+    log.append_frame("long", spark.range(3000).selectExpr("id", "repeat(CAST(id AS STRING), 1 + id % 5) AS payload").repartition(6), ["id"])
+    want = m.Materializer(log, "whole", "long", Chain())
+    want.catch_up()
+    assert want.state["n"] == 3000 and len(want.state["tasks"]) == 1
+    monkeypatch.setattr(m, "RANGE_BYTES", 20_000)
+    parts = m.Materializer(log, "parts", "long", Chain())
+    parts.catch_up()
+    assert (parts.state["hash"], parts.state["n"], parts.state["last"]) == (want.state["hash"], 3000, 2999)
+    assert len(parts.state["tasks"]) >= 5 and max(n for _, n in parts.state["tasks"]) <= 1200
+    log.append_batch("long", [b"one", b"two"])
+    assert parts.catch_up() == 2 and want.catch_up() == 2 and parts.state["hash"] == want.state["hash"]
